@@ -154,3 +154,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = ink[1:]
     end = np.flatnonzero(ink & (~after | first[1:])) + 1
     return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+# --- Arrow side -------------------------------------------------------------------------------------------------------
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 16 MB at a time, however long single rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices starts[0]..+counts[0]-1, starts[1].. and so on, end to end."""
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def offsets_of(counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=out[1:])
+    return out
+
+
+def filesystem(uri: str):
+    """pyarrow's file system for a folder that all executors share, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
