@@ -184,3 +184,66 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Whole groups of rows that agree in the first ``n_keys`` columns, which are integers, from sorted batches.
+
+    Yields tables of one or more whole groups; only an unfinished group is carried from batch to batch.
+    """
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)])
+        if held:
+            last = [held[0].column(i)[0].as_py() for i in range(n_keys)]
+            differs = (keys != np.array(last)[:, None]).any(axis=0)
+            if not differs.any():
+                held.append(b)
+                continue
+            cut = int(np.argmax(differs))
+            if cut:
+                held.append(b.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            b, keys, held = b.slice(cut), keys[:, cut:], []
+        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(table: pa.Table, n_keys: int) -> list[int]:
+    keys = np.stack([table.column(i).to_numpy() for i in range(n_keys)])
+    change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+    return [0, *change.tolist(), table.num_rows]
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """Least index reachable from each row of a symmetric boolean matrix."""
+    n = len(linked)
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def units(members: DataFrame, gid: str, block: int) -> DataFrame:
+    """Work units for all pairs of each group: columns u and side are added.
+
+    A group of up to ``block`` members is one unit. A larger one is dealt into blocks by hash, and each pair of blocks is
+    a unit, so that no task gets more than two blocks; side tells the blocks of a unit apart.
+    """
+    large = settle(members.groupBy(gid).agg(F.count("*").alias("m")).where(F.col("m") > block).select(F.col(gid).alias("large"), F.ceil(F.col("m") / block).cast("int").alias("t")))
+    own = members.columns
+    dealt = members.join(large, F.col(gid) == F.col("large"), "left")
+    mine = F.pmod(F.xxhash64(*own[:2]), F.col("t")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct((F.least(mine, o) * F.col("t") + F.greatest(mine, o)).alias("u"), (mine > o).cast("int").alias("side")))
+    whole = F.array(F.struct(F.lit(0).alias("u"), F.lit(0).alias("side")))
+    return dealt.select(*own, F.explode(F.when(F.col("t").isNull(), whole).otherwise(pairs)).alias("x")).select(*own, "x.u", "x.side")

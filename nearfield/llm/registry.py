@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import bpe, mixing, packing, quality, sentences, urls, warc
+from nearfield.llm import bpe, minhash, mixing, packing, quality, sentences, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.judge(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.judge(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op5_token_files": op5_token_files,
     "op6_mix_sources": op6_mix_sources,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_quality_rules": op10_quality_rules,
 }
