@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import bpe, minhash, mixing, packing, quality, sentences, urls, warc
+from nearfield.llm import bpe, embeddings, minhash, mixing, packing, quality, sentences, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.judge(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.judge(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.judge(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_mix_sources": op6_mix_sources,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_quality_rules": op10_quality_rules,
 }
