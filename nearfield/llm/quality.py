@@ -71,19 +71,27 @@ def _judged(docs: DataFrame, keep: list[Column]) -> DataFrame:
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("left") >= (1 - MOST_LOST) * F.col("word_chars")))
 
 
+def _barrier(d: DataFrame, rows: Column) -> DataFrame:
+    """Rows of an array of structs. A filter above is not pushed below this, where it would repeat all that it needs."""
+    return d.select(F.inline(rows))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines_removed.
 
     A null or empty text has no words and fails the base; a null id stays null; repeated rows are judged alike, each by
     itself; texts of any length are judged whole. Other columns are not read; an empty table gives no rows.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return _judged(docs, [F.col("doc_id")]).select("doc_id", *names, (F.size("lines") - F.size("good")).cast("long").alias("n_lines_removed"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    removed = (F.size("lines") - F.size("good")).cast("long").alias("n_lines_removed")
+    return _barrier(_judged(docs, [F.col("doc_id")]), F.array(F.struct(*names, removed)))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents kept, with the columns of ``docs``; text is without the removed lines, and n_chars follows it."""
-    d = _judged(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")]).where("kept")
+    d = _judged(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")])
+    row = F.struct("r", "clean")
+    d = _barrier(d, F.filter(F.array(F.when(F.col("kept"), row)), lambda x: x.isNotNull()))
     out = {c: F.col("r").getField(c) for c in docs.columns}
     out["text"] = F.col("clean")
     if "n_chars" in docs.columns:
