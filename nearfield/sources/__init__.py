@@ -1 +1 @@
-"""Sources of the vector engine."""
+"""Stored forms: segments, snapshots, logs and generated vectors."""
