@@ -316,7 +316,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for lo, hi, data, off in C.slices(b.column(1), 1 << 22):
+            for lo, hi, data, off in C.slices(b.column(1), 1 << 21):
                 ids, counts = enc.encode_rows(data, off)
                 yield pa.record_batch([b.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(C.offsets_of(counts).astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
@@ -347,7 +347,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = encoder(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            for lo, hi, data, off in C.slices(b.column(1), 1 << 22):
+            for lo, hi, data, off in C.slices(b.column(1), 1 << 21):
                 ids, counts = enc.encode_rows(data, off)
                 at = C.offsets_of(counts).tolist()
                 lists = [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)]

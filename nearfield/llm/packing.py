@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         fs, at = C.filesystem(target)
         part, made, out = TaskContext.get().partitionId(), [], None
         for b in batches:
-            for lo, hi, data, off in C.slices(b.column(1), 1 << 22):
+            for lo, hi, data, off in C.slices(b.column(1), 1 << 21):
                 ids, counts = enc.encode_rows(data, off, 0)
                 bits = max(bits_for(enc.vocabulary), bits_for(end_id + 1))
                 ends = np.cumsum(counts)
