@@ -112,7 +112,7 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * inv[start] + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo..hi of a string column as (lo, hi, bytes, offsets), about ``most`` bytes at a time; null is empty.
 
     Offsets are int64, hi - lo + 1 of them, from 0. A longer text comes alone and whole.
