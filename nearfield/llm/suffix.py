@@ -13,8 +13,8 @@ import numpy as np
 
 from nearfield.llm.common import powers
 
-#: Levels of recursion before what is left is sorted by rank doubling; each level more than halves what repeats.
-DEEPEST = 12
+#: Levels of recursion; what still repeats below them, a few hundredths of a text, is sorted by rank doubling.
+DEEPEST = 2
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -103,16 +103,18 @@ def _induce(t: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.nda
 def _doubling(t: np.ndarray) -> np.ndarray:
     n = len(t)
     rank, step = t.astype(np.int64), 1
+    rank -= rank.min()
+    wide = max(int(rank.max()), n) + 2
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-step] = rank[step:] + 1
-        order = np.lexsort((nxt, rank))
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (nxt[order[1:]] != nxt[order[:-1]]))
-        rank = new
+        key = rank * wide
+        key[:-step] += rank[step:] + 1
+        order = np.argsort(key)
+        ahead = key[order]
+        rank = np.zeros(n, np.int64)
+        rank[order[1:]] = np.cumsum(ahead[1:] != ahead[:-1])
         if rank[order[-1]] == n - 1 or step >= n:
             return order.astype(np.int32)
-        step = min(2 * step, n - 1)
+        wide, step = n + 2, min(2 * step, n - 1)
 
 
 def suffix_array(t: np.ndarray, k: int, depth: int = 0) -> np.ndarray:
