@@ -29,7 +29,7 @@ def histogram(events: DataFrame, value: str) -> DataFrame:
 def histogram_percentiles(hist: DataFrame, before: float = 0.0) -> DataFrame:
     """p50, p95, p99: midpoint of the first bucket whose cumulative share reaches the level; ``before`` without data."""
     w = Window.orderBy("bucket")  # eight rows
-    share = hist.withColumn("share", F.sum("n").over(w) / F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    share = hist.withColumn("share", F.try_divide(F.sum("n").over(w), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     mids = F.array(*[F.lit(float(x)) for x in MIDPOINTS])
     return share.agg(*[F.coalesce(F.get(mids, F.min(F.when(F.col("share") >= p, F.col("bucket")))), F.lit(before)).alias(f"p{round(100 * p)}") for p in LEVELS])
 
