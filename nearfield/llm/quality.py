@@ -17,7 +17,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 MIN_WORDS = 50
 #: A document goes if it loses more than this share of the characters of its words.
 MOST_LOST = 0.5
-#: Longer lines are prose, whatever words they hold.
+#: Longer lines are prose, whatever boilerplate they mention.
 BOILERPLATE_CHARS = 200
 #: A line without closing punctuation must have as many words.
 SHORT_LINE = 4
@@ -35,7 +35,7 @@ FEW = 128
 def bad_line(line: Column) -> Column:
     """True for a line with words that fails a rule; a boilerplate line must be short, as prose may hold those words."""
     short = line.rlike(WORD) & ~line.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{SHORT_LINE - 1}}}[^\x20\x09-\x0D]")
-    return ((F.length(line) <= BOILERPLATE_CHARS) & (line.rlike(BOILERPLATE) | line.rlike(NAVIGATION))) | (short & ~line.rlike(CLOSED))
+    return ((F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)) | line.rlike(NAVIGATION) | (short & ~line.rlike(CLOSED))
 
 
 def _repeat_words(grams: str, twice: str) -> Column:
