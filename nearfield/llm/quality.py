@@ -1,8 +1,9 @@
 """Quality rules, line first, with DataFrame functions only.
 
-Each line is judged by itself: navigation, boilerplate, and short lines that end without punctuation are removed. A
-document goes if it fails the two base rules (too few words, too much of it in repeated three-word windows) or if more
-than half of its characters stood in removed lines. Everything is computed within the row: no shuffle.
+Each line is judged by itself: navigation, boilerplate, lines full of symbols, and short ones that end without
+punctuation are removed. A document goes if it fails the two base rules (too few words, too much of it in repeated
+three-word windows) or if more than half of its characters stood in removed lines. Everything is computed within the
+row: no shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ MIN_WORDS = 50
 MOST_LOST = 0.5
 #: Longer lines are prose, whatever boilerplate they mention.
 BOILERPLATE_CHARS = 200
+#: A line may consist of symbols up to this share.
+MOST_SYMBOLS = 0.1
 #: A line without closing punctuation must have as many words.
 SHORT_LINE = 4
 BOILERPLATE = (
@@ -35,7 +38,8 @@ FEW = 128
 def bad_line(line: Column) -> Column:
     """True for a line with words that fails a rule; a boilerplate line must be short, as prose may hold those words."""
     short = line.rlike(WORD) & ~line.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{SHORT_LINE - 1}}}[^\x20\x09-\x0D]")
-    return ((F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)) | line.rlike(NAVIGATION) | (short & ~line.rlike(CLOSED))
+    symbols = line.rlike(SYMBOLS) & ((F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))) > MOST_SYMBOLS * F.length(line))
+    return ((F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)) | line.rlike(NAVIGATION) | (short & ~line.rlike(CLOSED)) | symbols
 
 
 def _repeat_words(grams: str, twice: str) -> Column:

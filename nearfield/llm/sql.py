@@ -93,7 +93,8 @@ def _quote(pattern: str) -> str:
 _SHORT = rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{quality.SHORT_LINE - 1}}}[^\x20\x09-\x0D]"
 _BAD = (
     f"((length(x) <= {quality.BOILERPLATE_CHARS} AND regexp_matches(x, {_quote(quality.BOILERPLATE)})) OR regexp_matches(x, {_quote(quality.NAVIGATION)})"
-    f" OR (regexp_matches(x, '{_WORD}') AND NOT regexp_matches(x, {_quote(_SHORT)}) AND NOT regexp_matches(x, {_quote(quality.CLOSED)})))"
+    f" OR (regexp_matches(x, '{_WORD}') AND NOT regexp_matches(x, {_quote(_SHORT)}) AND NOT regexp_matches(x, {_quote(quality.CLOSED)}))"
+    f" OR length(x) - length(regexp_replace(x, {_quote(quality.SYMBOLS)}, '', 'g')) > {quality.MOST_SYMBOLS} * length(x))"
 )
 
 OP10 = f"""
