@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import TINY, cosine_distance, l2_sq
 
-#: Queries sent to the tasks at a time.
+#: Queries sent to the tasks at a time, and distances held at a time.
 QUERY_BLOCK = 4096
+CELLS = 1 << 21
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -26,12 +27,36 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all rows to one query, summed directly and not from norms."""
+def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, distance, id) of at least the k nearest rows to each query.
+
+    One matrix product tells which rows can be among them; their distances are then summed directly, so that equal
+    vectors have equal distances wherever they stand.
+    """
+    if metric == "l2":
+        rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+    else:
+        size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        rough = np.where(size < TINY, 1.0, 1.0 - (q @ x.T) / np.where(size < TINY, 1.0, size))
+    if rough.shape[1] > k:
+        worst = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(rough <= (worst + 1e-9 * (1 + np.abs(rough).max(axis=1)))[:, None])
+    else:
+        i, j = (a.ravel() for a in np.indices(rough.shape))
+    a, b = q[i], x[j]
     if metric == "l2":
-        return ((x - q) ** 2).sum(axis=1)
-    size = np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())
-    return np.where(size < TINY, 1.0, 1.0 - (x @ q) / np.where(size < TINY, 1.0, size))
+        return i, ((b - a) ** 2).sum(axis=1), ids[j]
+    size = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    return i, np.where(size < TINY, 1.0, 1.0 - (a * b).sum(axis=1) / np.where(size < TINY, 1.0, size)), ids[j]
+
+
+def keep_nearest(have: tuple | None, new: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each query by (distance, id), of two lists of (query, distance, id)."""
+    i, d, v = new if have is None else (np.concatenate(x) for x in zip(have, new, strict=True))
+    order = np.lexsort((v, d, i))
+    i, d, v = i[order], d[order], v[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return tuple(x[rank < k] for x in (i, d, v))
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "l2") -> DataFrame:
@@ -65,27 +90,17 @@ def batch_partials(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             ids, q = given.value
-            best: dict[int, list] = {}
+            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for b in batches:
                 x, v = matrix(b.column(1)), b.column(0).to_numpy()
                 group = b.column(2).to_numpy() if by else np.zeros(len(v), np.int64)
                 for g in np.unique(group).tolist():
                     at = np.flatnonzero(group == g)
-                    xs, vs = x[at], v[at]
-                    have = best.setdefault(g, [(np.zeros(0), np.zeros(0, np.int64))] * len(ids))
-                    for i in range(len(ids)):
-                        d = distances(xs, q[i], metric)
-                        if len(d) > k:
-                            cut = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                            d, w = d[cut], vs[cut]
-                        else:
-                            w = vs
-                        d, w = np.concatenate([have[i][0], d]), np.concatenate([have[i][1], w])
-                        order = np.lexsort((w, d))[:k]
-                        have[i] = (d[order], w[order])
-            for g, have in best.items():
-                n = [len(d) for d, _ in have]
-                cols = [np.repeat(ids, n), np.concatenate([w for _, w in have])] + ([np.full(sum(n), g)] if by else []) + [np.concatenate([d for d, _ in have])]
+                    for lo in range(0, len(at), max(k, CELLS // len(ids))):
+                        rows = at[lo : lo + max(k, CELLS // len(ids))]
+                        best[g] = keep_nearest(best.get(g), nearest(x[rows], v[rows], q, k, metric), k)
+            for g, (i, d, w) in best.items():
+                cols = [ids[i], w] + ([np.full(len(i), g)] if by else []) + [d]
                 yield pa.record_batch([pa.array(c) for c in cols], ["qid", "vec_id"] + ["grp"] * bool(by) + ["d"])
 
         part = vectors.select(*names).mapInArrow(run, schema)
