@@ -128,7 +128,7 @@ def write_pages(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFram
     rows = pages.select(shard, "page_id", F.sha1(payload).alias("sha"), F.lit(1).alias("kind"), "url", payload.alias("payload"), F.lit(None).cast("long").alias("first")).union(
         later.select(shard, "page_id", "sha", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("binary"), "first")
     )
-    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "kind", "url")
+    rows = rows.repartition(max(parts, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = C.filesystem(target)
