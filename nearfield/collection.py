@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.config import CollectionConfig, live_top_k, search_width
 from nearfield.operators import hnsw, log, metrics, ring, search
+from nearfield.sources import snapshots
 
 LOG = "shard_id int, lsn long, vec_id long, dim int, crc long, embedding array<float>, metadata string"
 
@@ -83,6 +84,25 @@ class Collection:
             raise ValueError(f"no search mode {mode}")
         return near.join(vectors.select("vec_id", "shard_id", "node_id", "metadata"), "vec_id").select("qid", "rank", "vec_id", "shard_id", "node_id", "distance", "metadata")
 
+    def snapshot(self) -> str:
+        """Write vectors, graph and the log numbers reached as a new version; returns its name."""
+        v = self.vectors
+        return snapshots.save(v, hnsw.build(v, self.cfg.index), self.log, f"{self.path}/snapshots")
+
+    def restore(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Vectors and graph of the current snapshot, and what the log has beyond it; without one, all of the log."""
+        root, dim = f"{self.path}/snapshots", self.cfg.index.dim
+        if snapshots.current(self.spark, root) is None:
+            none = self.spark.createDataFrame([], snapshots.segments.SCHEMA), self.spark.createDataFrame([], hnsw.EDGES)
+            return *none, snapshots.recover(self.log, None, None, dim)
+        v, edges, upto = snapshots.load(self.spark, root)
+        return v, edges, snapshots.recover(self.log, v, upto, dim)
+
+    def node(self, node_id: int, shard_id: int = 0) -> DataFrame:
+        """Inspect a node of the current snapshot."""
+        v, edges, _ = self.restore()
+        return hnsw.inspect(v, edges, node_id, shard_id)
+
     def info(self) -> DataFrame:
         """shard_id, n, status of every shard, and the collection's total and dimension."""
         loads = ring.load(self.vectors, self.cfg.shards)

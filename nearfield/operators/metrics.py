@@ -81,11 +81,11 @@ def status(healthy: Column) -> Column:
 
 def human(n: Column) -> Column:
     """Counts as text: 1.2M, 3.4K, 56."""
-    return F.when(n >= 1e6, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M"))).when(n >= 1e3, F.concat(F.format_string("%.1f", n / 1e3), F.lit("K"))).otherwise(n.cast("long").cast("string"))
+    return F.when(n >= 1e6, F.concat(F.format_string("%.1f", F.round(n / 1e6, 1)), F.lit("M"))).when(n >= 1e3, F.concat(F.format_string("%.1f", F.round(n / 1e3, 1)), F.lit("K"))).otherwise(n.cast("long").cast("string"))
 
 
 def human_us(us: Column) -> Column:
-    return F.when(us >= 1000, F.concat(F.format_string("%.1f", us / 1000), F.lit("ms"))).otherwise(F.concat(us.cast("long").cast("string"), F.lit("us")))
+    return F.when(us >= 1000, F.concat(F.format_string("%.1f", F.round(us / 1000, 1)), F.lit("ms"))).otherwise(F.concat(us.cast("long").cast("string"), F.lit("us")))
 
 
 def gauge(value: Column, full: float) -> Column:

@@ -285,8 +285,15 @@ def test_collection(spark, tmp_path):
     assert [r.vec_id for r in c.search(q, 2).orderBy("rank").collect()] == [4, 2]
     c.insert(3, [3.0, 1, 0, 0])
     assert c.search(q, 1).first().vec_id == 3
+    assert c.restore()[2].count() == c.log.count()
+    c.snapshot()
+    c.insert(500, [5.0, 5, 5, 5])
+    v, edges, later = c.restore()
+    assert v.count() == 31 and edges.where("layer = 0").count() == 31 and [r.vec_id for r in later.collect()] == [500]
+    shard = v.first().shard_id
+    assert c.node(0, shard).count() == 1
     info = c.info().collect()
-    assert len(info) == 3 and info[0].total_vectors == 31 and "ok" in c.health().first()[0]
+    assert len(info) == 3 and info[0].total_vectors == 32 and "ok" in c.health().first()[0]
 
 
 def test_streams(spark, tmp_path):
