@@ -304,3 +304,15 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         bulk_insert(stream, 4, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/rows").count() == 20
+
+
+def test_search_in_sql(spark):
+    from nearfield.functions.udtf import register_search
+
+    register_search(spark)
+    x = unit(40, 4, 8)
+    vecs(spark, x).withColumn("shard_id", F.col("vec_id") % 2).createOrReplaceTempView("v_udtf")
+    q = ", ".join(str(float(np.float32(t))) for t in x[7])
+    got = spark.sql(f"SELECT * FROM vector_search(TABLE(SELECT * FROM v_udtf) PARTITION BY (shard_id), array({q}), 3) ORDER BY distance, vec_id LIMIT 3").collect()
+    want = search.top_k(vecs(spark, x), [float(np.float32(t)) for t in x[7]], 3).collect()
+    assert [(r.vec_id, round(r.distance, 6)) for r in got] == [(r.vec_id, round(r.distance, 6)) for r in want]
