@@ -103,7 +103,8 @@ def _later(docs: DataFrame) -> DataFrame:
     again = C.settle(every.join(twice, "k", "left_semi"))
     # null ids come last
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "at")
-    first = again.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("a"), F.col("k2").alias("b"), "first")
+    # a table of its own, so that the join below has both sides from exchanges and a span that very many hold can be split
+    first = C.settle(again.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("a"), F.col("k2").alias("b"), "first"))
     found = again.join(first, (F.col("k") == F.col("a")) & (F.col("k2") == F.col("b"))).where(place != F.col("first"))
     return found.groupBy("doc_id", "h").agg(F.collect_set("at").alias("at"))
 
