@@ -178,6 +178,22 @@ def test_embedding_links(spark):
     assert embeddings.judge(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 64)))
+    x[:1000] = unit(x[0] + 0.02**0.5 * x[:1000])  # pairs at a cosine of 0.98
+    x[1000:1100] = unit(x[0] + 0.6 * x[1000:1100])  # on the rim of the group
+    x[1100:1200] = unit(x[1000:1100] + 0.3 * x[1100:1200])
+    x = x[rng.permutation(3000)].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.judge(df).collect()}
+    y = unit(x.astype(np.float64))
+    true = (y @ y.T >= 0.95).sum(axis=1) - 1
+    assert true.max() >= 990
+    assert [got[i] for i in range(3000)] == true.tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (102, 102), (None, 3), (7, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
