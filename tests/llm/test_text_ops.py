@@ -222,6 +222,18 @@ def test_sentence_spans(spark):
     assert sentences.judge(frame(spark, [])).count() == 0
 
 
+def test_no_passage_of_over_50_words_is_missed(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for i in range(150):
+        passage = prose(51 + i % 10)
+        rows += [(j, f"{prose(rng.randint(0, 40))} {passage} {prose(rng.randint(0, 40))}") for j in (i, 1000 + i)]
+    got = {r.doc_id: r.n_removed for r in sentences.judge(frame(spark, rows)).collect()}
+    assert all(got[i] == 0 and got[1000 + i] > 0 for i in range(150))
+
+
 def test_quality_counts(spark):
     rng = random.Random(1)
     rows = corpus() + [(200, "a b c " * 40), (201, " ".join(rng.choice("abcd") for _ in range(700))), (202, "line one\nline one\n\n \nx #*$%&|<> y\nline one"), (None, "w " * 60)]
