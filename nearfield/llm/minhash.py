@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import common as C
@@ -101,8 +101,12 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 BLOCK = 512
 
 
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, c1, c2 (the set's name), bands, sketch of each document; no bands without words."""
+    """doc_id, h (the text's hash), n, c1, c2 (the set's name), bands, sketch of each document; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,16 +117,17 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         b.column(0)[lo:hi],
+                        b.column(2)[lo:hi],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x for x, _ in names], pa.int64()),
                         pa.array([x for _, x in names], pa.int64()),
                         pa.array([None if s is None else band_keys(s) for s in sigs], pa.list_(pa.int64())),
                         pa.array([None if s is None else odd_sketch(s) for s in sigs], pa.binary()),
                     ],
-                    ["doc_id", "n", "c1", "c2", "bands", "sketch"],
+                    ["doc_id", "h", "n", "c1", "c2", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text", _hash(F.col("text")).alias("h")).mapInArrow(run, "doc_id long, h long, n long, c1 long, c2 long, bands array<long>, sketch binary")
 
 
 def _promising(table: pa.Table, n_keys: int, similarity: float, most: int) -> np.ndarray:
@@ -206,8 +211,19 @@ def _linked(table: pa.Table, n_keys: int, percent: int) -> tuple[list[int], list
     return nodes, least
 
 
+def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """A text of each class of (r, c1, c2, at): by its first row's id and hash, or where that has no id, by the hash alone."""
+    here = docs.select("doc_id", "text", _hash(F.col("text")).alias("g"))
+    known = names.join(here, (F.col("at.id") == F.col("doc_id")) & (F.col("at.h") == F.col("g"))).select("r", "c1", "c2", "text")
+    nameless = here.where("doc_id is null").groupBy("g").agg(F.first("text").alias("text"))
+    return known.union(names.where("at.none").join(nameless, F.col("at.h") == F.col("g")).select("r", "c1", "c2", "text"))
+
+
 def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links between representatives that connect all that links connect."""
+    """(a, b) links between representatives that connect all that links connect.
+
+    A representative is an id, unless classes tell ``at``, the place of their first rows.
+    """
     similarity = percent / 100
     most = most_different(similarity)
     # a bucket's leader is its least representative; all members of the leader's buckets are one group
@@ -224,7 +240,8 @@ def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
 
     near = C.settle(looks.mapInArrow(look, "gid long, u int, side int, rep long"))
     wanted = near.select(F.col("rep").alias("w")).distinct()
-    names = classes.select(F.col("rep").alias("r"), "c1", "c2").join(wanted, F.col("r") == F.col("w")).select("r", "c1", "c2")
+    placed = ["at"] if "at" in classes.columns else []
+    names = classes.select(F.col("rep").alias("r"), "c1", "c2", *placed).join(wanted, F.col("r") == F.col("w")).select("r", "c1", "c2", *placed)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,7 +251,7 @@ def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
                 own = [i for i, s in enumerate(sets) if set_key(s) == (c1[i], c2[i])]  # rows that share an id may hold other texts
                 yield pa.record_batch([b.column(0)[lo:hi].take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["r", "set"])
 
-    texts = names.join(docs.select("doc_id", "text"), F.col("r") == F.col("doc_id")).select("r", "c1", "c2", "text")
+    texts = _texts(docs, names) if placed else names.join(docs.select("doc_id", "text"), F.col("r") == F.col("doc_id")).select("r", "c1", "c2", "text")
     sets = C.settle(texts.mapInArrow(full, "r long, set array<long>"))
     confirm = near.join(sets, F.col("rep") == F.col("r")).select("gid", "u", "side", "rep", "set").repartition("gid", "u").sortWithinPartitions("gid", "u")
 
@@ -268,6 +285,28 @@ def judge(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which none with a smaller id is reachable by links, with the columns of ``docs``."""
-    gone = judge(docs, size, percent).where("not kept").select(F.col("doc_id").alias(f"{C.OWN}gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(f"{C.OWN}gone")), "left_anti")
+    """The documents of which none with a smaller id is reachable by links, with the columns of ``docs``.
+
+    Each row is judged by its own text, whatever else has its id; null ids come last, and of rows without an id that only
+    reach each other one stays, by the hash of its text. Rows without words all stay.
+    """
+    C.bound_batches(docs.sparkSession)
+    signed = C.settle(_signed(docs, size))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    # a class is a node by its name, as ids may be null or repeat with other texts
+    classes = C.settle(
+        signed.where("n > 0").groupBy("c1", "c2").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("rep", F.col("c1"))
+    )
+    linked = components(_edges(docs, classes, size, percent))
+    of = C.settle(classes.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.coalesce("component", "rep").alias("of"), "at"))
+    first = of.groupBy("of").agg(F.min("at").alias("first")).select(F.col("of").alias("o"), "first")
+    named = of.join(first, F.col("of") == F.col("o")).select("x1", "x2", "first")
+    kept = F.when(F.col("first.none"), F.col("h") == F.col("first.h")).otherwise(F.col("doc_id").eqNullSafe(F.col("first.id")))
+    rows = signed.where("n > 0").select("doc_id", "h", "c1", "c2").join(named, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")))
+    gone = rows.where(~kept).select(F.col("doc_id").alias(f"{C.OWN}gone"), F.col("h").alias(f"{C.OWN}h")).distinct()
+    # equal texts without an id are one row
+    alike = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(C.WORD), F.lit(False))
+    whole = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    once = docs.where(alike).groupBy(_hash(F.col("text")).alias(f"{C.OWN}h")).agg(F.min_by(F.struct(*docs.columns), whole).alias(f"{C.OWN}row")).select(f"{C.OWN}row.*")
+    every = docs.where(~alike).union(once)
+    return every.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{C.OWN}gone")) & (_hash(F.col("text")) == F.col(f"{C.OWN}h")), "left_anti")

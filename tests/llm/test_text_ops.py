@@ -137,6 +137,20 @@ def test_near_dedup_null_ids(spark):
     assert got == {(None, 4, False), (4, 4, True), (None, None, True)}
 
 
+def test_keep_first_decides_by_row(spark):
+    long = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    own = [(None, "other text of its own"), (None, long("u")), (5, "five has a text that nobody else has"), (7, long("v"))]
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d e f"), *own, (6, long("d")), (7, long("d") + " x"), (None, long("d") + " y")]
+    rows += [(None, long("n")), (None, long("n")), (None, long("n") + " z"), (None, long("N")), (None, ""), (None, None), (None, ""), (8, long("e")), (8, long("e"))]
+    left = minhash.keep_first(frame(spark, rows))
+    assert left.columns == ["doc_id", "text", "source", "n", "h"]
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    nameless = [x for x in got if x[0] is None and (x[1] or "").lower().startswith("n0")]
+    assert len(nameless) == 1
+    want = [(4, "a b c d e f"), *own, (6, long("d")), *nameless, (None, ""), (None, None), (None, ""), (8, long("e")), (8, long("e"))]
+    assert got == sorted(want, key=str)
+
+
 def test_intersections_of_many_sets():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
