@@ -18,28 +18,53 @@ SYMBOLS = r"[#*$%&|<>]+"
 MIN_WORDS = 50
 #: A document goes if it loses more than this share of the characters of its words.
 MOST_LOST = 0.5
-#: Longer lines are prose, whatever boilerplate they mention.
-BOILERPLATE_CHARS = 200
+#: A line is boilerplate if its phrases make up this share of its characters; prose may mention one.
+MOST_BOILERPLATE = 0.1
 #: A line may consist of symbols up to this share.
 MOST_SYMBOLS = 0.1
 #: A line without closing punctuation must have as many words.
 SHORT_LINE = 4
-BOILERPLATE = (
-    r"(?i)\b(?:all rights reserved|cookie (?:policy|settings)|we use cookies|accept (?:all )?cookies|privacy policy|terms of (?:use|service)"
-    r"|enable javascript|javascript is (?:disabled|required)|click here|read more|sign (?:in|up)|log in|subscribe (?:now|to our)|share this|powered by"
-    r"|skip to (?:main )?content|back to top|lorem ipsum)\b"
-)
-NAVIGATION = r"^(?:[^|»›•·>]{1,40}[|»›•·>]){2,}[^|»›•·>]{0,40}$"
+# Fixed phrases, as they stand on pages in English, German, French and Spanish.
+PHRASES = (
+    "all rights reserved", "cookie policy", "cookie settings", "we use cookies", "accept cookies", "accept all cookies", "privacy policy", "terms of use",
+    "terms of service", "terms and conditions", "enable javascript", "javascript is disabled", "javascript is required", "click here", "read more", "sign in",
+    "sign up", "log in", "subscribe now", "subscribe to our", "share this", "powered by", "skip to content", "skip to main content", "back to top",
+    "add to cart", "contact us", "about us", "lorem ipsum",
+    "alle rechte vorbehalten", "wir verwenden cookies", "cookies akzeptieren", "alle cookies akzeptieren", "cookie-einstellungen", "datenschutzerklärung",
+    "nutzungsbedingungen", "impressum", "hier klicken", "weiterlesen", "mehr erfahren", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen",
+    "nach oben", "in den warenkorb",
+    "tous droits réservés", "nous utilisons des cookies", "accepter les cookies", "tout accepter", "politique de confidentialité", "mentions légales",
+    "conditions d'utilisation", "conditions générales", "cliquez ici", "lire la suite", "en savoir plus", "se connecter", "s'inscrire", "aller au contenu",
+    "retour en haut", "ajouter au panier",
+    "todos los derechos reservados", "utilizamos cookies", "usamos cookies", "aceptar cookies", "aceptar todas las cookies", "política de privacidad",
+    "política de cookies", "aviso legal", "términos de uso", "términos y condiciones", "haga clic", "haz clic", "leer más", "iniciar sesión",
+    "regístrate", "ir al contenido", "volver arriba", "añadir al carrito",
+)
+BOILERPLATE = rf"(?iu)\b(?:{'|'.join(PHRASES)})\b"
+#: A line is navigation if it has two separators or more, and every part ahead of one has from 1 to so many characters, the last one up to as many.
+PART = 40
+SEPARATOR = "[|»›•·>]"
 CLOSED = r"[.!?:;,…\"'”’)\]。！？][\x20\x09-\x0D]*$"
 #: A document of up to so many distinct repeated windows looks each of them up in turn; one of more sorts its windows.
 FEW = 128
 
 
+def navigation(line: Column) -> Column:
+    """Short parts between separators. Plain patterns that repeat no group, so that no line is too long for the matcher."""
+    two = line.rlike(f"{SEPARATOR}{SEPARATOR.replace('[', '[^')}*{SEPARATOR}")
+    return two & ~line.rlike(f"^{SEPARATOR}|{SEPARATOR}{{2}}") & ~line.rlike(f"{SEPARATOR.replace('[', '[^')}{{{PART + 1}}}")
+
+
+def boilerplate(line: Column) -> Column:
+    """Phrases make up a share of the line, whatever its length."""
+    return line.rlike(BOILERPLATE) & ((F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))) >= MOST_BOILERPLATE * F.length(line))
+
+
 def bad_line(line: Column) -> Column:
-    """True for a line with words that fails a rule; a boilerplate line must be short, as prose may hold those words."""
+    """True for a line with words that fails a rule."""
     short = line.rlike(WORD) & ~line.rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{SHORT_LINE - 1}}}[^\x20\x09-\x0D]")
     symbols = line.rlike(SYMBOLS) & ((F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))) > MOST_SYMBOLS * F.length(line))
-    return ((F.length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)) | line.rlike(NAVIGATION) | (short & ~line.rlike(CLOSED)) | symbols
+    return boilerplate(line) | navigation(line) | (short & ~line.rlike(CLOSED)) | symbols
 
 
 def _repeat_words(grams: str, twice: str) -> Column:

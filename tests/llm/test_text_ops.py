@@ -266,6 +266,26 @@ def test_quality_verdicts(spark):
     assert quality.judge(frame(spark, rows)).where("kept").count() == 2
 
 
+def test_quality_of_very_long_lines(spark):
+    n = 1_000_000
+    rows = [(1, "a|" * n), (2, "| " * n), (3, "»" * n), (4, "word " * n), (5, "read more " * n), (6, "x" * n), (7, " " * n), (8, "a\n" * n)]
+    got = {r.doc_id: (r.n_words, r.kept, r.n_lines_removed) for r in quality.judge(frame(spark, rows)).collect()}
+    assert got == {1: (1, False, 1), 2: (n, False, 1), 3: (1, False, 1), 4: (n, False, 0), 5: (2 * n, False, 1), 6: (1, False, 1), 7: (0, False, 0), 8: (n, False, n)}
+
+
+def test_navigation_is_the_pattern_it_stands_for(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    pattern = re.compile(r"^(?:[^|»›•·>]{1,40}[|»›•·>]){2,}[^|»›•·>]{0,40}\Z")
+    lines = {"".join(rng.choice("ab|» ") for _ in range(rng.randint(0, 14))) for _ in range(2000)}
+    lines |= {"a" * i + "|" + "b" * j + "›" + "c" * k for i in (0, 1, 39, 40, 41) for j in (0, 1, 40, 41) for k in (0, 1, 40, 41)}
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", quality.navigation(F.col("x")).alias("y")).collect()
+    assert {r.x for r in got if r.y} == {x for x in lines if pattern.search(x)}
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randint(1, 4) for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "é", "z", None, "c"])) for i in range(300)]
