@@ -6,9 +6,10 @@ White space is always the six ASCII characters of ``[\\x20\\x09-\\x0D]``; a word
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 OWN = "__nf_"
 
 _made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a local temporary folder only where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session in one process, as in tests; on a cluster, whose machines do
+    not share such a folder, this raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='nearfield-')}")
+        base = _own[0]
     path = f"{base.rstrip('/')}/nf-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
@@ -160,8 +170,28 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hand texts to Python 16 MB at a time, however long single rows are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Hand texts to Python 4 MB at a time, however long single rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def release() -> None:
+    """Give back to the system what a finished task has freed: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, with the task's memory given back at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -186,6 +216,28 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def commit(fs, temp: str, final: str) -> None:
+    """Give a finished file its name. A task that is run again finds the file of an earlier run, which holds the same bytes."""
+    from pyarrow.fs import FileType
+
+    def there() -> bool:
+        old = fs.get_file_info(final)
+        if old.type == FileType.NotFound:
+            return False
+        if old.size != fs.get_file_info(temp).size:
+            raise ValueError(f"{final} exists with other content")
+        fs.delete_file(temp)
+        return True
+
+    if there():
+        return
+    try:
+        fs.move(temp, final)
+    except OSError:  # another run of the task was faster
+        if not there():
+            raise
+
+
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Whole groups of rows that agree in the first ``n_keys`` columns, which are integers, from sorted batches.
 
@@ -234,16 +286,25 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def sized(members: DataFrame, gid: str, block: int) -> DataFrame:
+    """(large, t): the groups of more than ``block`` members, and how many blocks they make."""
+    counted = members.groupBy(gid).agg(F.count("*").alias("m")).where(F.col("m") > block)
+    return settle(counted.select(F.col(gid).alias("large"), F.ceil(F.col("m") / block).cast("long").alias("t")))
+
+
+def block_of(columns: list[str], blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), blocks)
+
+
 def units(members: DataFrame, gid: str, block: int) -> DataFrame:
     """Work units for all pairs of each group: columns u and side are added.
 
     A group of up to ``block`` members is one unit. A larger one is dealt into blocks by hash, and each pair of blocks is
     a unit, so that no task gets more than two blocks; side tells the blocks of a unit apart.
     """
-    large = settle(members.groupBy(gid).agg(F.count("*").alias("m")).where(F.col("m") > block).select(F.col(gid).alias("large"), F.ceil(F.col("m") / block).cast("int").alias("t")))
     own = members.columns
-    dealt = members.join(large, F.col(gid) == F.col("large"), "left")
-    mine = F.pmod(F.xxhash64(*own[:2]), F.col("t")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct((F.least(mine, o) * F.col("t") + F.greatest(mine, o)).alias("u"), (mine > o).cast("int").alias("side")))
-    whole = F.array(F.struct(F.lit(0).alias("u"), F.lit(0).alias("side")))
+    dealt = members.join(sized(members, gid, block), F.col(gid) == F.col("large"), "left")
+    mine = block_of(own[:2], F.col("t"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - 1), lambda o: F.struct((F.least(mine, o) * F.col("t") + F.greatest(mine, o)).alias("u"), (mine > o).cast("int").alias("side")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).alias("side")))
     return dealt.select(*own, F.explode(F.when(F.col("t").isNull(), whole).otherwise(pairs)).alias("x")).select(*own, "x.u", "x.side")

@@ -143,7 +143,7 @@ def _postings(classes: DataFrame, pivots: list[list[float]], crowded: list[bool]
                     ["gid", "rep", "n", "home", "near", "v"],
                 )
 
-    return classes.select("rep", "n", "v").mapInArrow(run, "gid long, rep long, n long, home long, near array<long>, v binary")
+    return C.map_arrow(classes.select("rep", "n", "v"), run, "gid long, rep long, n long, home long, near array<long>, v binary")
 
 
 def _links(postings: DataFrame, n_pivots: int, least: float, kind: str) -> DataFrame:
@@ -194,7 +194,7 @@ def _links(postings: DataFrame, n_pivots: int, least: float, kind: str) -> DataF
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["rep", "links", "root"])
 
     whole = C.units(postings.select("gid", "rep", "n", "home", "near", "v"), "gid", BLOCK)
-    return whole.select("gid", "u", "side", "rep", "n", "home", "near", "v").repartition("gid", "u").sortWithinPartitions("gid", "u").mapInArrow(run, "rep long, links long, root long")
+    return C.map_arrow(whole.select("gid", "u", "side", "rep", "n", "home", "near", "v").repartition("gid", "u").sortWithinPartitions("gid", "u"), run, "rep long, links long, root long")
 
 
 def judge(vectors: DataFrame, least: float = 0.95, nearest: int = NEAREST, per_root: float = PIVOTS_PER_ROOT) -> DataFrame:
