@@ -4,8 +4,9 @@ A document is cut where a rolling hash of its last two words has fixed low bits,
 wherever they stand. A chunk is encoded once and kept under its hash; documents that share it take the ids from there.
 Then each join of two chunks is checked: the words around it are encoded together by the tokenizer, and if that is not
 what the chunks have there, the stretch is widened word by word until its ids agree with the chunks on both sides, and
-takes their place. For a tokenizer that drops white space, a new chunk in turn is put together from ids of its words,
-each of which is encoded once; any other tokenizer encodes a new chunk's text as it stands.
+takes their place. A chunk begins with the white space before its first word. For a tokenizer that drops white space a
+new chunk is put together from ids of its words, each of which is encoded once; any other tokenizer encodes the text of
+a new chunk.
 
 The stores belong to one Python worker and are bounded; when one is full it starts anew. No text is shuffled: an
 executor that is lost costs only its running tasks.
@@ -29,9 +30,11 @@ ENDS[np.frombuffer(b".,;:!?", np.uint8)] = True
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Mean words of a chunk; a power of two.
 CHUNK_WORDS = 256
-#: Entries of a store, and its ids, before it starts anew.
-MOST_ENTRIES = 1 << 21
-MOST_IDS = 1 << 24
+#: Entries of a store, and its ids, before it starts anew; a store takes some 40 MB then.
+MOST_ENTRIES = 1 << 20
+MOST_IDS = 1 << 23
+#: Joins known to agree, before they are forgotten.
+MOST_JOINS = 1 << 16
 
 
 def default_tokenizer() -> str:
@@ -43,13 +46,14 @@ def default_tokenizer() -> str:
 class Store:
     """Ids under 64-bit hashes, as flat arrays with sorted keys."""
 
-    def __init__(self) -> None:
+    def __init__(self, kind: type = np.int32) -> None:
+        self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, U), np.zeros(0, np.int64)
-        self.start, self.count, self.check = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 12, np.int32), 0
+        self.keys, self.slot = np.zeros(0, U), np.zeros(0, np.int32)
+        self.start, self.count, self.check = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 12, self.kind), 0
 
     def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Slots, -1 where unknown. ``check`` is the length of what was hashed; a hit must have the same."""
@@ -60,12 +64,12 @@ class Store:
         return np.where((self.keys[at] == keys) & (self.check[slot] == check), slot, -1)
 
     def add(self, keys: np.ndarray, check: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), self.kind)])
         self.ids[self.used : self.used + len(ids)] = ids
-        slots = len(self.count) + np.arange(len(keys))
-        self.start = np.concatenate([self.start, self.used + np.cumsum(counts) - counts])
-        self.count, self.check = np.concatenate([self.count, counts]), np.concatenate([self.check, check])
+        slots = np.arange(len(self.count), len(self.count) + len(keys), dtype=np.int32)
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(counts) - counts).astype(np.int32)])
+        self.count, self.check = np.concatenate([self.count, counts.astype(np.int32)]), np.concatenate([self.check, check.astype(np.int32)])
         self.used += len(ids)
         at = np.searchsorted(self.keys, keys)  # new keys come sorted
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
@@ -75,8 +79,8 @@ class Store:
 
     def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the slots end to end, and how many each has."""
-        counts = self.count[slots]
-        return self.ids[C.ragged(self.start[slots], counts)], counts
+        counts = self.count[slots].astype(np.int64)
+        return self.ids[C.ragged(self.start[slots].astype(np.int64), counts)].astype(np.int32), counts
 
 
 def _drops_space(spec: dict) -> bool:
@@ -116,7 +120,11 @@ class Encoder:
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.decimals = [str(i) for i in range(size)]
         self.closes = np.array([x.endswith("</w>") for x in self.tokens], np.int64)
-        self.words, self.chunks, self.agreed = Store(), Store(), set()
+        kind = np.uint16 if size <= 1 << 16 else np.int32
+        self.words, self.chunks = Store(kind), Store(kind)
+        self.agreed: set[int] = set()
+        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
+        self.repairs = 0
 
     def __call__(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -212,9 +220,7 @@ class Encoder:
         """Ids of all rows end to end, and how many each has."""
         rows = len(offsets) - 1
         if not self.by_word:
-            raw = data.tobytes()
-            got = [np.array(self(raw[a:b].decode("utf-8", "replace")), np.int32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            return (np.concatenate(got) if got else np.zeros(0, np.int32)), np.array([len(x) for x in got], np.int64)
+            return self._encode_texts(data, offsets, cut or CHUNK_WORDS)
         data, start, end, row = self._pieces(data, offsets)
         n = len(start)
         if not n:
@@ -260,7 +266,7 @@ class Encoder:
         pair = C.mix(key[l] * U(3) + key[r] + (end[l] == start[r])).tolist()
         raw, sums, repaired = data.tobytes(), C.offsets_of(counts), {}
         touch = (end[l] == start[r]).tolist()
-        if len(self.agreed) > MOST_ENTRIES:
+        if len(self.agreed) > MOST_JOINS:
             self.agreed.clear()
         word = lambda i: raw[start[i] : end[i]].decode("utf-8", "replace")
         for k, p, t in zip(inner.tolist(), pair, touch, strict=True):
@@ -291,6 +297,94 @@ class Encoder:
             lengths[k] = len(own)
         return np.concatenate(parts), lengths
 
+    def _encode_texts(self, data: np.ndarray, offsets: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode_rows`, for a tokenizer that keeps white space: chunks are encoded as texts."""
+        rows = len(offsets) - 1
+        start, end, row = C.words(data, offsets)
+        key = C.span_hash(C.prefix(C.LOWER[data]), start, end) if len(start) else np.zeros(0, U)
+        roll = key.copy()
+        roll[1:] += key[:-1] * U(3)
+        inner = np.append(row[1:] == row[:-1], False)[: len(row)]
+        ends = end[((C.mix(roll) & U(cut - 1)) == 0) & inner]  # chunks end with a word, or with their row
+        stop = np.unique(np.concatenate([ends, offsets[1:][np.diff(offsets) > 0]]))
+        first = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+        if not len(stop):
+            return np.zeros(0, np.int32), np.zeros(rows, np.int64)
+        name = C.span_hash(C.prefix(data), first, stop)
+        uniq, at, back = np.unique(name, return_index=True, return_inverse=True)
+        length = (stop - first)[at]
+        slot = self.chunks.find(uniq, length)
+        new = np.flatnonzero(slot < 0)
+        raw = data.tobytes()
+        if len(new):
+            if self.chunks.full(len(new)):
+                self.chunks.clear()
+                new = np.arange(len(uniq))
+            texts = [raw[first[at[i]] : stop[at[i]]].decode("utf-8", "replace") for i in new.tolist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.chunks.add(uniq[new], length[new], np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64))
+            slot = self.chunks.find(uniq, length)
+        ids, counts = self.chunks.take(slot[back])
+        owner = np.searchsorted(offsets, first, "right") - 1
+        sums, out, lengths = C.offsets_of(counts), [], np.zeros(rows, np.int64)
+        chunk = 0
+        word_of = np.searchsorted(start, first)  # the first word of each chunk
+        while chunk < len(stop):
+            r, got = int(owner[chunk]), ids[sums[chunk] : sums[chunk + 1]].tolist()
+            lo, hi = np.searchsorted(row, r), np.searchsorted(row, r, "right")
+            chunk += 1
+            while chunk < len(stop) and owner[chunk] == r:
+                last = min(int(np.searchsorted(start, stop[chunk])), int(hi))
+                self._append(got, ids[sums[chunk] : sums[chunk + 1]].tolist(), raw, int(offsets[r]), int(first[chunk]), int(stop[chunk]), end[lo : word_of[chunk]], end[word_of[chunk] : last])
+                chunk += 1
+            out.append(np.array(got, np.int32))
+            lengths[r] = len(got)
+        return np.concatenate(out), lengths
+
+    def _append(self, left: list[int], right: list[int], raw: bytes, begin: int, at: int, stop: int, before: np.ndarray, after: np.ndarray) -> None:
+        """Add to ``left``, the ids of raw[begin:at], those of the chunk raw[at:stop], which are ``right`` on their own.
+
+        ``before`` and ``after``: where the words on either side of the join end. The words next to the join are encoded
+        together; where that differs, so are 2, 4, 8 ... of each side, until the outermost words have the ids that they
+        have in the chunks, at most everything up to ``stop``.
+        """
+        n = 1
+        while True:
+            lo = int(before[-n - 1]) if n < len(before) else begin
+            hi = int(after[n - 1]) if n < len(after) else stop
+            text_a, text_b = raw[lo:at], raw[at:hi]
+            whole = lo == begin and hi == stop
+            if n == 1:
+                name = text_a + b"\xff" + text_b
+                if name in self.known:
+                    x, y = self.known[name]
+                    if left[len(left) - len(x) :] == x and right[: len(y)] == y:
+                        left += right
+                        return
+            a, b = text_a.decode("utf-8", "replace"), text_b.decode("utf-8", "replace")
+            x, y, both = self(a), self(b), self(a + b)
+            fits = left[len(left) - len(x) :] == x and right[: len(y)] == y
+            if fits and both == x + y:
+                if n == 1:
+                    if len(self.known) > MOST_JOINS:
+                        self.known.clear()
+                    self.known[name] = (x, y)
+                left += right
+                return
+            if whole:
+                self.repairs += 1
+                left[:] = both
+                return
+            # the outermost words must have the ids that they have in the chunks
+            outer_a = self(raw[lo : int(before[-n])].decode("utf-8", "replace")) if n < len(before) else []
+            outer_b = self(raw[int(after[n - 2]) if n > 1 else at : hi].decode("utf-8", "replace")) if hi < stop else []
+            if n > 1 and fits and both[: len(outer_a)] == outer_a == x[: len(outer_a)] and (not outer_b or both[-len(outer_b) :] == outer_b == y[-len(outer_b) :]) and len(both) >= len(outer_a) + len(outer_b):
+                self.repairs += 1
+                del left[len(left) - len(x) :]
+                left += both + right[len(y) :]
+                return
+            n *= 2
+
     def decode(self, ids: list[int]) -> str:
         if self.plain_decoder:  # tokens with a space between
             return " ".join([self.tokens[i] for i in ids])
@@ -320,7 +414,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
                 ids, counts = enc.encode_rows(data, off)
                 yield pa.record_batch([b.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(C.offsets_of(counts).astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return C.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -332,7 +426,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return C.map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -361,4 +455,4 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return C.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
