@@ -7,7 +7,10 @@ one, and repeat as a whole; only where an anchor has fragments of different cont
 content once. A shard of whole anchors is one text, whose suffix array is made by induced sorting; two neighbours in it
 that share 200 bytes or more by the permuted common prefixes are repeated windows.
 
-An anchor with very many different contents is not gathered: its windows are hashed one by one and counted instead.
+An anchor with very many contents is not gathered: its windows are hashed one by one and counted instead.
+
+A text is known by two hashes, whatever rows hold it, so copies of a document share one list of ranges, and the work is in
+proportion to the rows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import common as C
@@ -28,8 +32,8 @@ LENGTH = 200
 GRAM = 32
 #: Text of a shard, about: whole anchors are added up to this size.
 SHARD = 1 << 20
-#: Different contents of an anchor beyond which its windows are hashed instead.
-MOST = 1 << 14
+#: Different contents of an anchor beyond which its windows are hashed instead; at 284 bytes each, they fill half a shard.
+MOST = 1 << 11
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -74,48 +78,49 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return row, start - offsets[row], count, h[at[start]], C.span_hash(p, start, start + count + length - 1)
 
 
-def _ours(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+def _ours(docs: DataFrame, length: int, more: list[Column] | None = None) -> DataFrame:
+    """doc_id, text, h1, h2 (and more columns): the text's two hashes. Texts too short to lose anything are told apart by id, to spread them."""
+    t = F.coalesce("text", F.lit(""))
+    first = F.when(F.octet_length(t) < length, F.xxhash64(F.lit(0), "doc_id")).otherwise(F.xxhash64(F.lit(1), t))
+    return docs.select("doc_id", "text", first.alias("h1"), F.xxhash64(F.lit(2), t).alias("h2"), *(more or []))
 
 
 def _found(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(f, c, doc_id, h, at, n) of every fragment."""
+    """(f, c, doc_id, h1, h2, at, n) of every fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.slices(b.column(1)):
                 row, at, n, f, c = fragments(data, off, length, gram)
                 take = pa.array(row)
-                yield pa.record_batch(
-                    [pa.array(f.view(np.int64)), pa.array(c.view(np.int64)), b.column(0)[lo:hi].take(take), b.column(2)[lo:hi].take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))],
-                    ["f", "c", "doc_id", "h", "at", "n"],
-                )
+                known = [b.column(i)[lo:hi].take(take) for i in (0, 2, 3)]
+                yield pa.record_batch([pa.array(f.view(np.int64)), pa.array(c.view(np.int64)), *known, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))], ["f", "c", "doc_id", "h1", "h2", "at", "n"])
 
-    return docs.mapInArrow(run, "f long, c long, doc_id long, h long, at int, n short")
+    return C.map_arrow(docs, run, "f long, c long, doc_id long, h1 long, h2 long, at int, n short")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(f, c, n, body): the bytes of wanted (f, c, n, doc_id, h, at), from their documents."""
-    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("f", "c", "n", "at")).alias("w"))
-    ours = _ours(docs).select(F.col("doc_id").alias("id"), "text", F.col("h").alias("g"))
-    # rows equal in id and text are one here
-    both = lists.join(ours, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h"))).select("text", "w")
+    """(f, c, n, body): the bytes of wanted (f, c, n, doc_id, h1, at), from their documents."""
+    lists = wanted.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("f", "c", "n", "at")).alias("w"))
+    ours = _ours(docs, length).select(F.col("doc_id").alias("id"), "text", F.col("h1").alias("g"))
+    # rows that repeat in id and text give their bytes once each; what is gathered under an anchor takes each content once
+    both = lists.join(ours, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h1"))).select("text", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.slices(b.column(0)):
                 w = b.column(1)[lo:hi]
-                counts = np.array([len(x) for x in w.to_pylist()], np.int64)
+                counts = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = w.flatten()
                 f, c, n, at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 start = np.repeat(off[:-1], counts) + at
                 size = n.astype(np.int64) + length - 1
-                for x in range(0, len(f), 8192):
-                    s, z = start[x : x + 8192], size[x : x + 8192]
+                for x in range(0, len(f), 4096):
+                    s, z = start[x : x + 4096], size[x : x + 4096]
                     body = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(C.offsets_of(z).astype(np.int32).tobytes()), pa.py_buffer(data[C.ragged(s, z)].tobytes())])
-                    yield pa.record_batch([pa.array(f[x : x + 8192]), pa.array(c[x : x + 8192]), pa.array(n[x : x + 8192]), body], ["f", "c", "n", "body"])
+                    yield pa.record_batch([pa.array(f[x : x + 4096]), pa.array(c[x : x + 4096]), pa.array(n[x : x + 4096]), body], ["f", "c", "n", "body"])
 
-    return both.mapInArrow(run, "f long, c long, n short, body binary")
+    return C.map_arrow(both, run, "f long, c long, n short, body binary")
 
 
 def repeated_windows(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +128,12 @@ def repeated_windows(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.n
     sizes = np.array([len(x) for x in bodies], np.int64)
     off = C.offsets_of(sizes + 1)
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-    t = data.astype(np.uint16) + np.uint16(1)
+    t = data.astype(np.uint16)
+    t += np.uint16(1)
     t[off[1:] - 1] = 0  # between pieces stands a symbol that is no byte
     sa = suffix_array(t, 257)
-    ends = np.repeat(off[1:] - 1, sizes + 1)
-    plcp, phi = permuted_lcp(data, sa, ends)
+    del t
+    plcp, phi = permuted_lcp(data, sa, np.repeat((off[1:] - 1).astype(np.int32), sizes + 1))
     hit = np.zeros(len(data), bool)
     at = np.flatnonzero(plcp >= length)
     hit[at] = True
@@ -155,10 +161,12 @@ def _by_suffix(texts: DataFrame, length: int) -> DataFrame:
             return pa.record_batch([t.column("f").combine_chunks().take(take), t.column("c").combine_chunks().take(take), pa.array((lo - off[k]).astype(np.int32)), pa.array((hi - off[k]).astype(np.int32))], ["f", "c", "lo", "hi"])
 
         for t in C.grouped(batches, 1):
+            f, c = (t.column(i).to_numpy() for i in range(2))
+            t = t.filter(pa.array(np.concatenate([[True], (f[1:] != f[:-1]) | (c[1:] != c[:-1])])))  # each content once
             for a, b in _cuts(t):
                 part = t.slice(a, b - a)
                 held.append(part)
-                size += part.column("body").nbytes
+                size += pc.sum(pc.binary_length(part.column("body"))).as_py() or 0
                 if size >= SHARD:
                     if (out := flush()) is not None:
                         yield out
@@ -166,15 +174,15 @@ def _by_suffix(texts: DataFrame, length: int) -> DataFrame:
         if held and (out := flush()) is not None:
             yield out
 
-    return texts.select("f", "c", "body").repartition("f").sortWithinPartitions("f").mapInArrow(run, "f long, c long, lo int, hi int")
+    return C.map_arrow(texts.select("f", "c", "body").repartition("f").sortWithinPartitions("f", "c"), run, "f long, c long, lo int, hi int")
 
 
 def _cuts(t: pa.Table) -> list[tuple[int, int]]:
     """A table of whole anchors in parts of whole anchors, of about a shard each."""
-    if t.column("body").nbytes <= SHARD:
+    sizes = C.offsets_of(pc.binary_length(t.column("body")).to_numpy().astype(np.int64))
+    if sizes[-1] <= SHARD:
         return [(0, t.num_rows)]
     bounds = C.group_bounds(t, 1)
-    sizes = np.cumsum([0, *(len(x) for x in t.column("body").to_pylist())])
     out, a = [], 0
     for b in bounds[1:]:
         if sizes[b] - sizes[a] >= SHARD or b == bounds[-1]:
@@ -197,45 +205,45 @@ def _by_hash(texts: DataFrame, length: int) -> DataFrame:
                 take = pa.array(row)
                 yield pa.record_batch([b.column(0)[lo:hi].take(take), b.column(1)[lo:hi].take(take), pa.array((at - off[row]).astype(np.int32)), pa.array(h.view(np.int64))], ["f", "c", "lo", "w"])
 
-    each = texts.select("f", "c", "body").mapInArrow(run, "f long, c long, lo int, w long")
+    each = C.map_arrow(texts.select("f", "c", "body"), run, "f long, c long, lo int, w long")
     twice = C.settle(each.groupBy("f", "w").agg(F.count("*").alias("m")).where("m > 1").select(F.col("f").alias("g"), F.col("w").alias("x")))
     return each.join(twice, (F.col("f") == F.col("g")) & (F.col("w") == F.col("x"))).select("f", "c", "lo", F.col("lo").alias("hi"))
 
 
 def _spans(docs: DataFrame, length: int, gram: int, most: int) -> DataFrame:
-    """(doc_id, h, w): for each document with repeated windows, their ranges as (first start, last start)."""
-    every = _found(_ours(docs), length, gram)
+    """(h1, h2, w): for each text with repeated windows, their ranges as (first start, last start)."""
+    every = _found(_ours(docs, length), length, gram)
     twice = C.settle(every.groupBy("f").agg(F.count("*").alias("m")).where("m > 1").select("f"))
     again = C.settle(every.join(twice, "f", "left_semi"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "at")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "at")
     contents = C.settle(again.groupBy("f", "c", "n").agg(F.count("*").alias("m"), F.min(place).alias("p")))
     kinds = C.settle(contents.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select(F.col("f").alias("g"), (F.col("k") > most).alias("many")))
-    mixed = contents.join(kinds, F.col("f") == F.col("g")).select("f", "c", "n", "p.doc_id", "p.h", "p.at", "many")
+    mixed = contents.join(kinds, F.col("f") == F.col("g")).select("f", "c", "n", "p.doc_id", "p.h1", "p.at", "many")
     texts = C.settle(_texts(docs, mixed, length).join(kinds, F.col("f") == F.col("g")).select("f", "c", "body", "many"))
     parts = _by_suffix(texts.where("not many"), length)
     if not kinds.where("many").isEmpty():
-        parts = parts.union(_by_hash(texts.where("many"), length))
+        parts = parts.union(_by_hash(texts.where("many").dropDuplicates(["f", "c"]), length))
     whole = contents.where("m > 1").select("f", "c", F.lit(0).alias("lo"), (F.col("n") - 1).cast("int").alias("hi"))
     ranges = C.settle(parts.union(whole).groupBy("f", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select(F.col("f").alias("g"), F.col("c").alias("d"), "r"))
     hits = again.join(ranges, (F.col("f") == F.col("g")) & (F.col("c") == F.col("d")))
     moved = F.transform("r", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi")))
-    return hits.select("doc_id", "h", moved.alias("r")).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("r")).alias("w"))
+    # copies of a text give the same ranges, which are taken once, before the shuffle too
+    return hits.select("h1", "h2", moved.alias("r")).groupBy("h1", "h2").agg(F.flatten(F.collect_set("r")).alias("w"))
 
 
-def _cut(docs: DataFrame, length: int, gram: int, most: int, carry: list[str], schema: str, rows) -> DataFrame:
+def _cut(docs: DataFrame, length: int, gram: int, most: int, carry: str, schema: str, rows) -> DataFrame:
     """Documents beside their repeated windows; ``rows`` makes output batches from (carried columns, kept, cut, spans)."""
-    ours = _ours(docs).select(*[F.col(c) for c in carry], F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.col("h").alias("__g")) if carry == ["doc_id"] else docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__g")
-    )
-    spans = _spans(docs, length, gram, most).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("w").alias("__w"))
-    first = ours.columns[0]
-    both = ours.join(spans, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__g") == F.col("__h")), "left").select(first, "__text", "__w")
+    first = carry
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ours = _ours(docs, length, [row] if carry == "row" else []).select(first, F.col("text").alias("__text"), F.col("h1").alias("__g1"), F.col("h2").alias("__g2"))
+    spans = _spans(docs, length, gram, most)
+    both = ours.join(spans, (F.col("__g1") == F.col("h1")) & (F.col("__g2") == F.col("h2")), "left").select(first, "__text", F.col("w").alias("__w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in C.slices(b.column(1)):
                 w = b.column(2)[lo:hi]
-                counts = np.array([len(x) if x is not None else 0 for x in w.to_pylist()], np.int64)
+                counts = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = w.flatten()
                 a, z = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
                 base = np.repeat(off[:-1], counts)
@@ -250,15 +258,15 @@ def _cut(docs: DataFrame, length: int, gram: int, most: int, carry: list[str], s
                 runs = np.concatenate([[0], np.cumsum(begins)])[off]
                 yield rows(b.column(0)[lo:hi], data[~gone].tobytes(), cut, off, np.diff(runs))
 
-    return both.mapInArrow(run, schema)
+    return C.map_arrow(both, run, schema)
 
 
 def judge(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each document.
 
-    A null or empty text has no bytes; a text shorter than ``length`` loses nothing; rows that repeat another (same id and
-    text) repeat its strings; ids that repeat with other texts are told apart by the text's hash; null ids are documents
-    like others; other columns are not read; an empty table gives no rows.
+    A null or empty text has no bytes; a text shorter than ``length`` loses nothing, and one of any length is judged
+    whole; rows that repeat another (same id and text) repeat its strings, each with the same result; ids that repeat or are
+    null tell nothing, as texts are known by their hashes; other columns are not read; an empty table gives no rows.
     """
     C.bound_batches(docs.sparkSession)
 
@@ -269,7 +277,7 @@ def judge(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    return _cut(docs, length, gram, most, ["doc_id"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", rows)
+    return _cut(docs, length, gram, most, "doc_id", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", rows)
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -284,7 +292,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
         c = cut.tolist()
         return pa.record_batch([own, pa.array([kept[x:y].decode("utf-8", "ignore") for x, y in zip(c, c[1:], strict=False)], pa.string())], ["row", "kept"])
 
-    got = _cut(docs, length, gram, most, ["row"], f"row {kind}, kept string", rows)
+    got = _cut(docs, length, gram, most, "row", f"row {kind}, kept string", rows)
     out = {c: F.col("row").getField(c) for c in docs.columns}
     out["text"] = F.col("kept")
     if "n_chars" in docs.columns:

@@ -23,7 +23,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     up = np.zeros(n, np.int8)
     up[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
     up[-1] = -1
-    at = np.where(up != 0, np.arange(n), n)
+    at = np.where(up != 0, np.arange(n, dtype=np.int32), np.int32(n))
     at = np.minimum.accumulate(at[::-1])[::-1]  # next position that differs from its neighbour
     return up[at] > 0
 
@@ -132,17 +132,22 @@ def suffix_array(t: np.ndarray, k: int, depth: int = 0) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]  # sorted by LMS substrings
-        until = np.zeros(n, np.int64)
+        until = np.zeros(n, np.int32)
         until[lms[:-1]] = lms[1:]
         until[lms[-1]] = n - 1
         p = np.zeros(n + 1, np.uint64)
-        np.cumsum((t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) * powers(n), out=p[1:])
+        p[1:] = t
+        p[1:] *= np.uint64(0x9E3779B97F4A7C15)
+        p[1:] += np.uint64(0xD1B54A32D192ED03)
+        p[1:] *= powers(n)
+        np.cumsum(p[1:], out=p[1:])
         start, end = order.astype(np.int64), until[order] + 1
         h = (p[end] - p[start]) * powers(n + 1, inverse=True)[start]
         same = (h[1:] == h[:-1]) & ((end - start)[1:] == (end - start)[:-1]) & (order[1:] != lms[-1]) & (order[:-1] != lms[-1])
         names = np.concatenate([[0], np.cumsum(~same)])
+        del p, h, start, end, until, is_lms, sa
         if names[-1] + 1 < len(lms):
-            at = np.zeros(n, np.int64)
+            at = np.zeros(n, np.int32)
             at[order] = names
             r = at[lms]
             base = int(np.ceil(np.sqrt(names[-1] + 1)))
@@ -162,11 +167,13 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray, ends: np.ndarray) -> tuple[np
     neighbours agree as well shares one byte less than the position before; only the others are compared, by words.
     """
     n = len(data)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    j = np.arange(n)
+    j = np.arange(n, dtype=np.int32)
+    ends = ends.astype(np.int32)
     has = phi >= 0
-    most = np.where(has, np.minimum(ends - j, ends[np.maximum(phi, 0)] - np.maximum(phi, 0)), 0)
+    room = ends - j
+    most = np.where(has, np.minimum(room, room[np.maximum(phi, 0)]), 0)
     chain = has.copy()
     chain[0] = False
     i = np.flatnonzero(chain)
@@ -179,7 +186,7 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray, ends: np.ndarray) -> tuple[np
     padded = np.zeros(n + 16, np.uint8)
     padded[:n] = data
     words = np.lib.stride_tricks.as_strided(padded, (n + 8, 8), (1, 1))
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int32)
     live, done = head, np.zeros(len(head), np.int64)
     while len(live):
         a, b = live + done, phi[live] + done
