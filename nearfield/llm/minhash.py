@@ -7,9 +7,11 @@ the number of values in which the signatures differ, and close to it while they
 similarities well and tells at once which candidates of a bucket are worth a look at their full sets.
 
 A bucket may hold very many classes, so its pairs are never listed. The members of all buckets that one class leads (by
-the least id) are a group; any two classes of a bucket meet in its leader's group, once for all bands. A group is
-compared in blocks: first by sketches, which leaves those with a partner near enough, and then by full sets, on which
-every link is confirmed. A block tells of its links only what connects: each member's least reachable one.
+the least id) are a group; any two classes of a bucket meet in its leader's group, once for all bands. Pairs are compared
+first by sketches, which leaves those with a partner near enough, and then by full sets, on which every link is
+confirmed. A small group is compared whole. In a large one each member is first compared with the leader only; those that
+link with it are connected, and need not be compared with each other. What is left is compared with all of the group, in
+pairs of blocks. A unit of work tells of its links only what connects: each member's least reachable one.
 """
 
 from __future__ import annotations
@@ -127,13 +129,13 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     ["doc_id", "h", "n", "c1", "c2", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text", _hash(F.col("text")).alias("h")).mapInArrow(run, "doc_id long, h long, n long, c1 long, c2 long, bands array<long>, sketch binary")
+    return C.map_arrow(docs.select("doc_id", "text", _hash(F.col("text")).alias("h")), run, "doc_id long, h long, n long, c1 long, c2 long, bands array<long>, sketch binary")
 
 
 def _promising(table: pa.Table, n_keys: int, similarity: float, most: int) -> np.ndarray:
     """Rows of whole units (gid, u, side, rep, n, sketch) that have a partner of the right size with a sketch near enough."""
     bounds = C.group_bounds(table, n_keys)
-    side, n = table.column("side").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+    side, rep, n = table.column("side").to_numpy(), table.column("rep").to_numpy(), table.column("n").to_numpy().astype(np.float64)
     bits = np.unpackbits(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 8), axis=1)
     out = np.zeros(table.num_rows, bool)
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -143,7 +145,7 @@ def _promising(table: pa.Table, n_keys: int, similarity: float, most: int) -> np
         ones = x.sum(axis=1)
         apart = ones[:, None] + ones[None, :] - 2 * (x @ x.T)
         near = (apart <= most) & (np.minimum.outer(m, m) >= similarity * np.maximum.outer(m, m) - 1e-9)
-        np.fill_diagonal(near, False)
+        near &= rep[a:b, None] != rep[None, a:b]
         if s.any():
             near &= s[:, None] != s[None, :]
         out[a:b] = near.any(axis=1)
@@ -182,64 +184,45 @@ def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(table: pa.Table, n_keys: int, percent: int) -> tuple[list[int], list[int]]:
-    """(rep, least rep reachable in its unit) for whole units (gid, u, side, rep, set), by links confirmed on full sets."""
+def _linked(table: pa.Table, n_keys: int, percent: int) -> list[tuple[int, int, int]]:
+    """(gid, rep, least rep reachable in its unit) for whole units (gid, u, side, rep, set), by links confirmed on full sets."""
     bounds = C.group_bounds(table, n_keys)
-    side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
+    gid, side, rep = (table.column(c).to_numpy() for c in ("gid", "side", "rep"))
     column = table.column("set").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int64()))
     off = column.offsets.to_numpy()
     flat = column.values.to_numpy().view(np.uint64)
-    nodes, least = [], []
+    out = []
     for a, b in zip(bounds, bounds[1:], strict=False):
         if b - a < 2:
             continue
-        order = a + np.argsort(rep[a:b], kind="stable")
+        order = a + np.lexsort((side[a:b], rep[a:b]))
+        order = order[np.concatenate([[True], (rep[order[1:]] != rep[order[:-1]]) | (side[order[1:]] != side[order[:-1]])])]
         sets = [flat[off[i] : off[i + 1]] for i in order.tolist()]
         both = common_sizes(sets)
         n = np.array([len(s) for s in sets])
         link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        np.fill_diagonal(link, False)
         s = side[order]
         if s.any():
             link &= s[:, None] != s[None, :]
         root = C.roots(link)
         far = np.flatnonzero(root != np.arange(len(root)))
-        nodes += rep[order[far]].tolist()
-        least += rep[order[root[far]]].tolist()
-    return nodes, least
+        out += zip([int(gid[a])] * len(far), rep[order[far]].tolist(), rep[order[root[far]]].tolist(), strict=True)
+    return out
 
 
 def _texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     """A text of each class of (r, c1, c2, at): by its first row's id and hash, or where that has no id, by the hash alone."""
     here = docs.select("doc_id", "text", _hash(F.col("text")).alias("g"))
-    known = names.join(here, (F.col("at.id") == F.col("doc_id")) & (F.col("at.h") == F.col("g"))).select("r", "c1", "c2", "text")
+    known = names.join(here, (F.col("at.id") == F.col("doc_id")) & (F.col("at.h") == F.col("g"))).select("r", "c1", "c2", "text", "g")
     nameless = here.where("doc_id is null").groupBy("g").agg(F.first("text").alias("text"))
-    return known.union(names.where("at.none").join(nameless, F.col("at.h") == F.col("g")).select("r", "c1", "c2", "text"))
-
+    return known.union(names.where("at.none").join(nameless, F.col("at.h") == F.col("g")).select("r", "c1", "c2", "text", "g"))
 
-def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links between representatives that connect all that links connect.
 
-    A representative is an id, unless classes tell ``at``, the place of their first rows.
-    """
-    similarity = percent / 100
-    most = most_different(similarity)
-    # a bucket's leader is its least representative; all members of the leader's buckets are one group
-    in_band = classes.select("rep", F.explode("bands").alias("band"))
-    lead = in_band.groupBy("band").agg(F.min("rep").alias("gid"), F.max("rep").alias("other")).where("gid != other").select(F.col("band").alias("led"), "gid")
-    members = C.settle(in_band.join(lead, F.col("band") == F.col("led")).select("gid", "rep").distinct())
-    looks = C.units(members, "gid", BLOCK).join(classes.select(F.col("rep").alias("r"), "n", "sketch"), F.col("rep") == F.col("r"))
-    looks = looks.select("gid", "u", "side", "rep", "n", "sketch").repartition("gid", "u").sortWithinPartitions("gid", "u")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in C.grouped(batches, 2):
-            keep = _promising(t, 2, similarity, most)
-            yield from t.select(["gid", "u", "side", "rep"]).filter(pa.array(keep)).combine_chunks().to_batches()
-
-    near = C.settle(looks.mapInArrow(look, "gid long, u int, side int, rep long"))
-    wanted = near.select(F.col("rep").alias("w")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(r, set): the full sets of representatives (rep)."""
+    wanted = wanted.select(F.col("rep").alias("w")).distinct()
     placed = ["at"] if "at" in classes.columns else []
     names = classes.select(F.col("rep").alias("r"), "c1", "c2", *placed).join(wanted, F.col("r") == F.col("w")).select("r", "c1", "c2", *placed)
 
@@ -251,17 +234,67 @@ def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
                 own = [i for i, s in enumerate(sets) if set_key(s) == (c1[i], c2[i])]  # rows that share an id may hold other texts
                 yield pa.record_batch([b.column(0)[lo:hi].take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["r", "set"])
 
-    texts = _texts(docs, names) if placed else names.join(docs.select("doc_id", "text"), F.col("r") == F.col("doc_id")).select("r", "c1", "c2", "text")
-    sets = C.settle(texts.mapInArrow(full, "r long, set array<long>"))
+    texts = _texts(docs, names) if placed else names.join(docs.select("doc_id", "text", _hash(F.col("text")).alias("g")), F.col("r") == F.col("doc_id")).select("r", "c1", "c2", "text", "g")
+    texts = texts.dropDuplicates(["r", "g"]).select("r", "c1", "c2", "text")  # rows that repeat, on the join's own partitions
+    return C.settle(C.map_arrow(texts, full, "r long, set array<long>"))
+
+
+def _compared(dealt: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, also: DataFrame | None = None, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(gid, a, b) for units (gid, u, side, rep): of the links between their sides, or in all, what connects.
+
+    And the full sets used, (r, set), with those of ``also`` (rep), for later units; ``sets`` are given ones.
+    """
+    similarity = percent / 100
+    most = most_different(similarity)
+    looks = dealt.join(classes.select(F.col("rep").alias("r"), "n", "sketch"), F.col("rep") == F.col("r"))
+    looks = looks.select("gid", "u", "side", "rep", "n", "sketch").repartition("gid", "u").sortWithinPartitions("gid", "u")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.grouped(batches, 2):
+            keep = _promising(t, 2, similarity, most)
+            yield from t.select(["gid", "u", "side", "rep"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    near = C.settle(C.map_arrow(looks, look, "gid long, u long, side int, rep long"))
+    if sets is None:
+        sets = _sets(near.select("rep") if also is None else near.select("rep").union(also), docs, classes, size)
     confirm = near.join(sets, F.col("rep") == F.col("r")).select("gid", "u", "side", "rep", "set").repartition("gid", "u").sortWithinPartitions("gid", "u")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.grouped(batches, 2):
-            a, b = _linked(t, 2, percent)
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if found := _linked(t, 2, percent):
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["gid", "a", "b"])
+
+    return C.settle(C.map_arrow(confirm, link, "gid long, a long, b long")), sets
 
-    return C.settle(confirm.mapInArrow(link, "a long, b long"))
+
+def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) links between representatives that connect all that links connect.
+
+    A representative is an id, unless classes tell ``at``, the place of their first rows.
+    """
+    # a bucket's leader is its least representative; all members of the leader's buckets are one group
+    in_band = classes.select("rep", F.explode("bands").alias("band"))
+    lead = in_band.groupBy("band").agg(F.min("rep").alias("gid"), F.max("rep").alias("other")).where("gid != other").select(F.col("band").alias("led"), "gid")
+    members = C.settle(in_band.join(lead, F.col("band") == F.col("led")).select("gid", "rep").distinct())
+    large = C.sized(members, "gid", BLOCK)
+    none, zero, one = F.lit(0).cast("long"), F.lit(0), F.lit(1)
+    small = members.join(large, F.col("gid") == F.col("large"), "left_anti").select("gid", none.alias("u"), zero.alias("side"), "rep")
+    if large.isEmpty():
+        return _compared(small, docs, classes, size, percent)[0].select("a", "b")
+    others = C.settle(members.where("rep != gid").join(large, F.col("gid") == F.col("large")).select("gid", "rep", "t"))
+    block = C.block_of(["gid", "rep"], F.col("t"))
+    leaders = large.select(F.col("large").alias("gid"), F.explode(F.sequence(none, F.col("t") - 1)).alias("u"), one.alias("side"), F.col("large").alias("rep"))
+    first, sets = _compared(small.union(others.select("gid", block.alias("u"), zero.alias("side"), "rep")).union(leaders), docs, classes, size, percent, others.select("rep"))
+    joined = first.where("b = gid").select(F.col("gid").alias("g"), F.col("a").alias("j")).distinct()
+    rest = C.settle(others.join(joined, (F.col("gid") == F.col("g")) & (F.col("rep") == F.col("j")), "left_anti"))
+    if rest.isEmpty():
+        return first.select("a", "b")
+    rows = rest.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("s")).select(F.col("gid").alias("g"), "s")
+    every = lambda last: F.sequence(none, last - 1)
+    asks = rest.join(rows, F.col("gid") == F.col("g")).select("gid", F.explode(F.transform(every(F.col("t")), lambda j: C.block_of(["gid", "rep"], F.col("s")) * F.col("t") + j)).alias("u"), one.alias("side"), "rep")
+    told = others.join(rows, F.col("gid") == F.col("g")).select("gid", F.explode(F.transform(every(F.col("s")), lambda i: i * F.col("t") + block)).alias("u"), zero.alias("side"), "rep")
+    second, _ = _compared(asks.union(told), docs, classes, size, percent, sets=sets)
+    return first.select("a", "b").union(second.select("a", "b"))
 
 
 def judge(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -285,10 +318,11 @@ def judge(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which none with a smaller id is reachable by links, with the columns of ``docs``.
+    """One document of each group that links connect, with the columns of ``docs``: the one with the smallest id.
 
-    Each row is judged by its own text, whatever else has its id; null ids come last, and of rows without an id that only
-    reach each other one stays, by the hash of its text. Rows without words all stay.
+    Each row is judged by its own text, whatever else has its id; of rows with the first id that are near copies of each
+    other one stays, by the hash of its text; null ids come last; of rows that repeat in id and text one stays, by the hash
+    of its other columns. Rows without words are nobody's copies, and all stay. Texts of any length are compared whole.
     """
     C.bound_batches(docs.sparkSession)
     signed = C.settle(_signed(docs, size))
@@ -301,12 +335,18 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     of = C.settle(classes.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.coalesce("component", "rep").alias("of"), "at"))
     first = of.groupBy("of").agg(F.min("at").alias("first")).select(F.col("of").alias("o"), "first")
     named = of.join(first, F.col("of") == F.col("o")).select("x1", "x2", "first")
-    kept = F.when(F.col("first.none"), F.col("h") == F.col("first.h")).otherwise(F.col("doc_id").eqNullSafe(F.col("first.id")))
-    rows = signed.where("n > 0").select("doc_id", "h", "c1", "c2").join(named, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")))
-    gone = rows.where(~kept).select(F.col("doc_id").alias(f"{C.OWN}gone"), F.col("h").alias(f"{C.OWN}h")).distinct()
-    # equal texts without an id are one row
-    alike = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(C.WORD), F.lit(False))
-    whole = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    once = docs.where(alike).groupBy(_hash(F.col("text")).alias(f"{C.OWN}h")).agg(F.min_by(F.struct(*docs.columns), whole).alias(f"{C.OWN}row")).select(f"{C.OWN}row.*")
-    every = docs.where(~alike).union(once)
-    return every.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{C.OWN}gone")) & (_hash(F.col("text")) == F.col(f"{C.OWN}h")), "left_anti")
+    places = signed.where("n > 0").groupBy("doc_id", "h", "c1", "c2").agg(F.count("*").alias("m"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    gone, rows = f"{C.OWN}gone", f"{C.OWN}rows"
+    of_row = C.settle(
+        places.join(named, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")))
+        .where(~kept | (F.col("m") > 1))
+        .select(F.col("doc_id").alias(f"{C.OWN}id"), F.col("h").alias(f"{C.OWN}h"), (~kept).alias(gone), F.col("m").alias(rows))
+    )
+    here = F.col("doc_id").eqNullSafe(F.col(f"{C.OWN}id")) & (_hash(F.col("text")) == F.col(f"{C.OWN}h"))
+    if of_row.where(f"not {gone}").isEmpty():
+        return docs.join(of_row, here, "left_anti")
+    once = docs.join(of_row.where(f"not {gone}"), here).groupBy(f"{C.OWN}id", f"{C.OWN}h")
+    whole = F.xxhash64(*(f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    repeated = once.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), whole).alias(f"{C.OWN}row")).select(f"{C.OWN}row.*")
+    return docs.join(of_row, here, "left_anti").union(repeated)
