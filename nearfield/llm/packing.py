@@ -8,7 +8,8 @@ or range of ids is read without the rest::
     | footer (<8 u8): bits, ids, documents, ids a block, blocks, offset of block offsets, offset of the index, checksum
 
 Documents are range-partitioned by (doc_id, text hash), so that no id gathers in one task; a task writes its files under
-a temporary name and renames them when they are complete, so that a task that is run again leaves the same files.
+a temporary name and renames them when they are complete; a task that is run again leaves files that are there already,
+which hold the same bytes.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ class Writer:
         foot = np.array([self.bits, self.n_ids, len(cols[0]), BLOCK, len(self.blocks), self.at, self.at + len(table), self.sum], "<u8").tobytes()
         self.out.write(table + index + foot)
         self.out.close()
-        self.fs.move(self.temp, self.final)
+        C.commit(self.fs, self.temp, self.final)
         return {"path": self.final, "part": self.part, "seq": self.seq, "n_docs": len(cols[0]), "n_ids": self.n_ids, "n_bytes": self.at + len(table) + len(index) + len(foot)}
 
 
@@ -112,13 +113,22 @@ class Reader:
         self.file = fs.open_input_file(path)
         size = self.file.size()
         foot = np.frombuffer(self.file.read_at(64, size - 64), "<u8").astype(np.int64)
-        self.bits, self.n_ids, n, self.block, blocks, table, index, _ = foot.tolist()
+        self.bits, self.n_ids, n, self.block, blocks, table, index, total = foot.tolist()
         self.blocks = np.frombuffer(self.file.read_at(8 * blocks, table), "<u8").astype(np.int64)
         raw = self.file.read_at(25 * n, index)
         self.first = np.frombuffer(raw, "<i8", n, 8 * n)
         self.count = np.frombuffer(raw, "<i8", n, 16 * n)
         self.null = np.frombuffer(raw, "u1", n, 24 * n).astype(bool)
         self.doc_id = np.frombuffer(raw, "<i8", n)
+        self.at, self.end, self.sum, self.path = len(MAGIC), table, total, path
+
+    def verify(self) -> None:
+        """Raise if the packed blocks are not those that were written."""
+        got = 0
+        for lo in range(self.at, self.end, 1 << 20):
+            got = zlib.crc32(self.file.read_at(min(1 << 20, self.end - lo), lo), got)
+        if got != self.sum:
+            raise ValueError(f"{self.path}: the ids do not have the checksum of the file")
 
     def ids(self, first: int, n: int) -> np.ndarray:
         """Ids first..first+n-1 of the file, from the blocks that hold them."""
@@ -166,7 +176,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    ordered.select("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    C.map_arrow(ordered.select("doc_id", "text"), run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -186,6 +196,7 @@ def read_tokens(manifest: DataFrame, folder: str, ids: bool = False) -> DataFram
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 r = Reader(fs, path)
+                r.verify()
                 lo = 0
                 while lo < len(r.doc_id):  # some documents at a time, about a million ids
                     hi = max(lo + 1, int(np.searchsorted(r.first, r.first[lo] + (1 << 20))))
@@ -203,7 +214,7 @@ def read_tokens(manifest: DataFrame, folder: str, ids: bool = False) -> DataFram
                     lo = hi
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "path").mapInArrow(run, schema)
+    return C.map_arrow(files.repartition(parts, "path"), run, schema)
 
 
 def pack_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
