@@ -1,12 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that closes with ``.``, ``!`` or ``?``, at the end of a line, or after a word whose hash has
-fixed low bits: passages are pasted into the middle of sentences, and the last rule, which looks at single words only,
-cuts a passage alike whatever stands before it. In every run of eight words that has no such end, the word with the least
-hash ends a sentence too. So all copies of a passage agree in the ends between its eighth word and its eighth last, of
-which none are more than eight words apart, and a passage of over 50 words holds a span wherever it is pasted. A span is
-the shortest run of at least three sentences and twelve words from a given sentence on. Every span is hashed, the hashes are counted over the corpus, and sentences go that a span
-covers which also stands earlier, by (doc_id, hash of the text, position).
+A sentence ends with a word that closes with ``.``, ``!``, ``?`` or one of their full-width forms, and at the end of a line;
+nothing else ends one. A span is the shortest run of at least two sentences and twenty words from a given sentence on.
+Every span is hashed, the hashes are counted over the corpus, and sentences go that a span covers which also stands
+earlier, by (doc_id, hash of the text, position).
 
 Three shuffles: 8 bytes a span to count; the spans themselves, of which only repeated ones are kept; then, for documents,
 the repeated spans and the texts. A span that very many documents hold is counted before the shuffle; its occurrences
@@ -26,16 +23,14 @@ from pyspark.sql import functions as F
 from nearfield.llm import common as C
 
 U = np.uint64
-SENTENCES = 3
-WORDS = 12
-#: One word in so many ends a sentence by its hash; a power of two.
-CUT = 16
-#: Words of a run that has an end in any case.
-GAP = 8
+#: A span has so many sentences and words at least; fewer words recur by chance.
+SENTENCES = 2
+WORDS = 20
 #: Marks that close a sentence, and what may follow them within the word.
 _MARK, _TAIL = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[np.frombuffer(b".!?", np.uint8)] = True
 _TAIL[np.frombuffer(b"\"')]}", np.uint8)] = True
+_WIDE = np.array([int.from_bytes(x.encode(), "big") for x in "。！？"], np.int32)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray):
@@ -57,12 +52,11 @@ def spans(data: np.ndarray, offsets: np.ndarray):
     lines = C.offsets_of((data == 0x0A).astype(np.int64))
     newline = np.zeros(n, bool)
     newline[:-1] = lines[start[1:]] > lines[end[:-1]]
-    mixed = C.mix(key)
-    close = row_end | _MARK[data[tail]] | newline | ((mixed & U(CUT - 1)) == 0)
-    if n >= GAP:  # a run without an end lies in one row, whose last word is an end
-        before = C.offsets_of(close.astype(np.int64))
-        bare = np.flatnonzero(before[GAP:] == before[:-GAP])
-        close[bare + np.lib.stride_tricks.sliding_window_view(mixed, GAP)[bare].argmin(axis=1)] = True
+    close = row_end | _MARK[data[tail]] | newline
+    wide = np.flatnonzero((end - start >= 3) & (data[last] >= 0x80))  # marks of three bytes
+    if len(wide):
+        three = (data[last[wide] - 2].astype(np.int32) << 16) | (data[last[wide] - 1].astype(np.int32) << 8) | data[last[wide]]
+        close[wide] |= np.isin(three, _WIDE)
     w_stop = np.flatnonzero(close) + 1
     w_start = np.concatenate([[0], w_stop[:-1]])
     s_row = row[w_start]
@@ -98,7 +92,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                     ["k", "k2", "doc_id", "h", "at"],
                 )
 
-    return docs.mapInArrow(run, "k long, k2 long, doc_id long, h long, at int")
+    return C.map_arrow(docs, run, "k long, k2 long, doc_id long, h long, at int")
 
 
 def _ours(docs: DataFrame) -> DataFrame:
@@ -150,15 +144,16 @@ def _cut(docs: DataFrame, schema: str, rows) -> DataFrame:
                 removed = np.bincount(s_row[g], minlength=hi - lo)
                 yield rows(b.column(0)[lo:hi], kept, cut, off, counts, removed)
 
-    return both.mapInArrow(run, schema)
+    return C.map_arrow(both, run, schema)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed (sentences), n_bytes_removed, kept_sha256 (of the remaining UTF-8 bytes).
 
-    Null or empty texts have no sentences; a text shorter than one span loses nothing; rows equal in id and text count
-    as one document, and each gets the same result; ids that repeat with other texts are told apart by the text's hash;
-    null ids come last; other columns are not read; an empty table gives no rows.
+    Null or empty texts have no sentences; a text shorter than one span loses nothing, and one of any length is judged
+    whole; a text without marks and line ends is one sentence; rows equal in id and text count as one document, and each
+    gets the same result; ids that repeat with other texts are told apart by the text's hash; null ids come last; other
+    columns are not read; an empty table gives no rows.
     """
     C.bound_batches(docs.sparkSession)
 

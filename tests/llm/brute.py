@@ -58,6 +58,37 @@ def repeated_bytes(rows, length):
     return out
 
 
+def sentences(text):
+    """Sentences of a text as (lower-cased words, bytes with the space up to the next sentence)."""
+    t = text or ""
+    words = list(WORD.finditer(t))
+    out, first = [], 0
+    for i, w in enumerate(words):
+        last = i + 1 == len(words)
+        if last or re.search("(?:[.!?][\"')\\]}]?|[。！？])$", w[0]) or "\n" in t[w.end() : words[i + 1].start()]:
+            stop = len(t) if last else words[i + 1].start()
+            out.append(([low(x[0]) for x in words[first : i + 1]], t[words[first].start() : stop]))
+            first = i + 1
+    return out
+
+
+def sentence_spans(rows, least, words):
+    """(id, sentences, removed, bytes removed) of distinct rows (id, text), null ids last."""
+    seen, out = {}, []
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        own = sentences(t)
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a + least, len(own) + 1):
+                span = tuple(w for x, _ in own[a:b] for w in x)
+                if len(span) >= words:
+                    if seen.setdefault(span, (i, t, a)) != (i, t, a):
+                        gone |= set(range(a, b))
+                    break
+        out.append((i, len(own), len(gone), sum(len(own[k][1].encode()) for k in gone)))
+    return out
+
+
 def quality(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t = text or ""

@@ -54,18 +54,67 @@ def test_encoding_agrees_with_the_library(spark):
     assert bpe.round_trip(frame(spark, [])).count() == 0
 
 
-def test_a_wrong_join_is_repaired():
-    enc = bpe.Encoder(bpe.default_tokenizer())
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_wrong_join_is_repaired(name):
+    import public_tokenizers
+
+    enc = bpe.Encoder(public_tokenizers.path(name))
     text = " ".join(f"word{i} other" for i in range(40))
     data = np.frombuffer(text.encode(), np.uint8)
     off = np.array([0, len(data)])
     want = enc(text)
-    assert enc.encode_rows(data, off, 4)[0].tolist() == want
-    enc.agreed.clear()
-    slot = enc.chunks.slot[2]
-    at = enc.chunks.start[slot] + enc.chunks.count[slot] - 1
-    enc.chunks.ids[at] = (enc.chunks.ids[at] + 1) % enc.vocabulary  # spoil the last id of a chunk
-    assert enc.encode_rows(data, off, 4)[0].tolist() == want
+    for which in range(2, 6):
+        assert enc.encode_rows(data, off, 4)[0].tolist() == want
+        enc.agreed.clear(), enc.known.clear()
+        slot = enc.chunks.slot[which]
+        at = enc.chunks.start[slot] + enc.chunks.count[slot] - 1
+        if enc.chunks.ids[enc.chunks.start[slot] : at + 1].tolist() == want[-int(enc.chunks.count[slot]) :]:
+            continue  # the text's last chunk has no join at its end
+        right = enc.chunks.ids[at]
+        enc.chunks.ids[at] = (right + 1) % enc.vocabulary  # spoil the last id of a chunk
+        assert enc.encode_rows(data, off, 4)[0].tolist() == want
+        enc.chunks.ids[at] = right
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("cut", [1, 2, 16, 256])
+def test_chunks_give_the_ids_of_whole_texts(name, cut):
+    import public_tokenizers
+
+    rng = random.Random(3)
+    parts = ["a", "b ", "  ", "\n", " the", "'s ", "\t", "\n\n", "\xa0", "\u2003", "é", "<|endoftext|>", "don't"]
+    texts = [t or "" for _, t in corpus()] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(150)] * 2
+    enc = bpe.Encoder(public_tokenizers.path(name))
+    raw = [t.encode() for t in texts]
+    ids, counts = enc.encode_rows(np.frombuffer(b"".join(raw), np.uint8), common.offsets_of(np.array([len(x) for x in raw])), cut)
+    at = common.offsets_of(counts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == enc(t)
+    assert len(enc.chunks.keys) > 0
+
+
+def test_a_chunk_is_encoded_once():
+    import public_tokenizers
+
+    enc = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    seen = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    enc.tokenizer = Counting(enc.tokenizer)
+    passage = " ".join(f"shared{i} words" for i in range(400))
+    raw = [f"own{i} start {passage} own{i} end".encode() for i in range(20)]
+    enc.encode_rows(np.frombuffer(b"".join(raw), np.uint8), common.offsets_of(np.array([len(x) for x in raw])), 16)
+    assert len(seen) == len(set(seen)) and sum(map(len, seen)) < 3 * len(raw[0]) + 20 * 400
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 20, 31])
@@ -147,7 +196,7 @@ def test_keep_first_decides_by_row(spark):
     got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
     nameless = [x for x in got if x[0] is None and (x[1] or "").lower().startswith("n0")]
     assert len(nameless) == 1
-    want = [(4, "a b c d e f"), *own, (6, long("d")), *nameless, (None, ""), (None, None), (None, ""), (8, long("e")), (8, long("e"))]
+    want = [(4, "a b c d e f"), *own, (6, long("d")), *nameless, (None, ""), (None, None), (None, ""), (8, long("e"))]
     assert got == sorted(want, key=str)
 
 
@@ -161,14 +210,32 @@ def test_intersections_of_many_sets():
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
 
+def test_keep_first_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "a"), (2, text, "c"), (3, text.upper(), "d"), (3, text + " x", "e"), (4, "alone in the world", "f"), (4, "alone in the world", "f"), (5, "", "g"), (5, "", "g")]
+    left = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, h string")).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, text), (4, "alone in the world"), (5, ""), (5, "")]
+    # near copies that share the first id
+    left = minhash.keep_first(spark.createDataFrame([(7, text, "a"), (7, text + " x", "b"), (8, text + " y", "c")], "doc_id long, text string, h string")).collect()
+    assert [r.doc_id for r in left] == [7]
+
+
 def test_blocks_lose_no_pair(spark):
+    rng = random.Random(9)
     rows = [(i, " ".join(f"w{j}" for j in range(60)) + f" tail{i}") for i in range(70)]
-    before, minhash.BLOCK = minhash.BLOCK, 16
+    word = iter(f"v{i}" for i in range(10_000))
+    chain = [next(word) for _ in range(80)]
+    for i in range(100, 160):  # each near to the one before, the last ones far from the first
+        rows.append((i, " ".join(chain)))
+        for _ in range(2):
+            chain[rng.randrange(len(chain))] = next(word)
+    rng.shuffle(rows)
+    before, minhash.BLOCK = minhash.BLOCK, 8
     try:
         got = minhash.judge(frame(spark, rows), size=4).collect()
     finally:
         minhash.BLOCK = before
-    assert {r.component_id for r in got} == {0}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(brute.near_dedup(rows, 4, 80))
 
 
 def test_embedding_links(spark):
@@ -216,36 +283,35 @@ def test_components(spark):
 
 
 def test_sentence_spans(spark):
-    passage = "The first sentence of a passage is here. It has a second one that is quite long. And then a third one ends it. Finally the fourth."
-    rows = [(1, "Own words begin. " + passage + " More of its own."), (2, "Something else " + passage + " and on"), (3, "A clean text. It shares nothing. Nothing at all with others."), (4, None), (5, ""), (2, "Something else " + passage + " and on")]
-    got = {(r.doc_id, r.n_removed > 0) for r in sentences.judge(frame(spark, rows)).collect()}
-    assert got == {(1, False), (2, True), (3, False), (4, False), (5, False)}
-    seen = {}
-    rows = [(i, t) for i, t in corpus() if i != 87] + [(300, passage), (301, "x " + passage)]
-    want = {}
-    for i, t in sorted(rows):
-        b = np.frombuffer((t or "").encode(), np.uint8)
-        a, z, _, p, q, _, _ = sentences.spans(b, np.array([0, len(b)]))
-        gone = set()
-        for x, y in zip(p.tolist(), q.tolist(), strict=True):
-            key = tuple(brute.low(bytes(b[a[x] : z[y]]).decode()).split())
-            if seen.setdefault(key, (i, x)) != (i, x):
-                gone |= set(range(x, y + 1))
-        want[i] = len(gone)
-    assert {r.doc_id: r.n_removed for r in sentences.judge(frame(spark, rows)).collect()} == want
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) + rng.choice([".", "!", "?", '."', "。", "\n"])
+    prose = lambda n: " ".join(sentence() for _ in range(n))
+    shared = [prose(rng.randint(1, 9)) for _ in range(12)]
+    rows = [(i, f"{prose(rng.randint(0, 5))} {rng.choice(words)} {rng.choice(shared)} {rng.choice(words)} {prose(rng.randint(0, 5))}") for i in range(150)]
+    rows += [(i, t.upper() if i % 2 else t) for i, t in zip(range(200, 230), shared * 3)]
+    rows += [(300, None), (301, ""), (302, " \n "), (303, "One. Two. " * 40), (304, rows[0][1]), (305, "no mark " * 60), (306, "no mark " * 60), (None, rows[1][1])]
+    rows += [rows[3], rows[3], rows[4]]
+    got = [(r.doc_id, r.n_sentences, r.n_removed, r.n_bytes_removed) for r in sentences.judge(frame(spark, rows)).collect()]
+    want = {x[0]: x for x in brute.sentence_spans(rows, sentences.SENTENCES, sentences.WORDS)}
+    assert sorted(map(str, got)) == sorted(str(want[i]) for i, _ in rows)
+    assert sum(x[2] > 0 for x in got) > 100
+    kept = {r.doc_id: len(r.text.encode()) for r in sentences.dedup_texts(frame(spark, rows)).collect()}
+    assert kept == {i: len((t or "").encode()) - want[i][3] for i, t in rows}
     assert sentences.judge(frame(spark, [])).count() == 0
 
 
-def test_no_passage_of_over_50_words_is_missed(spark):
+def test_repeated_passages_lose_their_whole_sentences(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
-    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    prose = lambda n: " ".join(some(rng.randint(4, 12)) + "." for _ in range(n))
     rows = []
-    for i in range(150):
-        passage = prose(51 + i % 10)
-        rows += [(j, f"{prose(rng.randint(0, 40))} {passage} {prose(rng.randint(0, 40))}") for j in (i, 1000 + i)]
+    for i in range(150):  # pasted into the middle of sentences
+        passage = prose(7)
+        rows += [(j, f"{prose(rng.randint(0, 4))} {some(3)} {passage} {some(3)} {prose(rng.randint(0, 4))}") for j in (i, 1000 + i)]
     got = {r.doc_id: r.n_removed for r in sentences.judge(frame(spark, rows)).collect()}
-    assert all(got[i] == 0 and got[1000 + i] > 0 for i in range(150))
+    assert all(got[i] == 0 and got[1000 + i] >= 5 for i in range(150))
 
 
 def test_quality_counts(spark):
@@ -330,6 +396,61 @@ def test_archive(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_archive_layout_depends_on_the_data_alone(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i if i % 3 else None, f"u{i % 50}", "".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 900)))) for i in range(600)]
+    rows += [(7, "u", "hot")] * 40 + [(900 + i, f"v{i}", "shared payload") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        at = f"file://{tmp_path}/{n}"
+        made = warc.write_pages(df.repartition(n), at, shard_bytes=40_000, roll_bytes=9_000)
+        seen.append(sorted((r.path.rsplit("/")[-1], r.shard, r.seq, r.n_records, r.n_bytes, r.sha256) for r in made.collect()))
+        if n == 3:  # a task that is run again, and one that is stopped halfway, change nothing
+            (tmp_path / "3" / "warc" / ".left-over.tmp").write_bytes(b"half a file")
+            again = warc.write_pages(df, at + "/again", shard_bytes=40_000, roll_bytes=9_000)
+            fs, folder = common.filesystem(at + "/again/warc")
+            first = again.first()
+            w = warc.Writer(fs, folder, first.shard, first.seq)
+            for raw in warc.members((tmp_path / "3" / "again" / "warc" / first.path.rsplit("/")[-1]).read_bytes()):
+                w.add(raw)
+            assert w.close()["sha256"] == first.sha256
+            got = warc.read_pages(made, at).collect()
+            assert len(got) == len(rows) and sum(r.record_type == "revisit" for r in got) >= 29
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+    assert len({x[1] for x in seen[0]}) > 5 and max(x[2] for x in seen[0]) > 0
+    order = [h.get("Page-ID") for x in seen[0] for h, _ in warc.parse((tmp_path / "3" / "warc" / x[0]).read_bytes())]
+    ids = [int(x) for x in order if x is not None]
+    assert ids == sorted(ids) and order[: len(order) - len(ids)] == [None] * (len(order) - len(ids))
+    names = [h["WARC-Record-ID"] for x in seen[0] for h, _ in warc.parse((tmp_path / "3" / "warc" / x[0]).read_bytes())]
+    assert len(names) == len(set(names)) == len(rows)
+
+
+def test_many_gzip_members_are_read_in_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        data = b"".join(warc.gzip_member(b"x%d" % i * 40) for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.members(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_spoiled_token_files_are_noticed(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    made = packing.write_tokens(frame(spark, corpus()), at, partitions=1)
+    path = made.first().path
+    raw = bytearray(open(path, "rb").read())
+    raw[100] ^= 1
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="checksum"):
+        packing.read_tokens(made, at).collect()
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://A.Example.ORG/es/1?x#y", ""), (2, None, "x"), (3, "no scheme", None), (4, "http://b.net/2", '<link rel="canonical" href="http://q.example.org/es/9">'),
