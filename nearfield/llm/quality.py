@@ -40,7 +40,23 @@ PHRASES = (
     "política de cookies", "aviso legal", "términos de uso", "términos y condiciones", "haga clic", "haz clic", "leer más", "iniciar sesión",
     "regístrate", "ir al contenido", "volver arriba", "añadir al carrito",
 )
-BOILERPLATE = rf"(?iu)\b(?:{'|'.join(PHRASES)})\b"
+
+
+def _one_of(phrases: tuple[str, ...]) -> str:
+    """A pattern for any of the phrases, by common beginnings, so that most places are dismissed at their first letter."""
+    heads: dict[str, list[str]] = {}
+    for x in phrases:
+        heads.setdefault(x[:1], []).append(x[1:])
+    if len(heads) == 1 and "" in heads:
+        return ""
+    parts = []
+    for c, rest in sorted(heads.items(), reverse=True):  # a longer phrase before one that begins it
+        c = c if c.isascii() else f"[{c}{c.upper()}]"
+        parts.append(c + _one_of(tuple(rest)) if c != "[]" and c else "")
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+BOILERPLATE = rf"(?i)\b{_one_of(PHRASES)}\b"
 #: A line is navigation if it has two separators or more, and every part ahead of one has from 1 to so many characters, the last one up to as many.
 PART = 40
 SEPARATOR = "[|»›•·>]"

@@ -93,9 +93,8 @@ def _quote(pattern: str) -> str:
 _SHORT = rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{quality.SHORT_LINE - 1}}}[^\x20\x09-\x0D]"
 _NOT_SEPARATOR = quality.SEPARATOR.replace("[", "[^")
 _NAVIGATION = f"^(?:{_NOT_SEPARATOR}{{1,{quality.PART}}}{quality.SEPARATOR}){{2,}}{_NOT_SEPARATOR}{{0,{quality.PART}}}$"
-_PHRASES = quality.BOILERPLATE.replace("(?iu)", "(?i)")
 _BAD = (
-    f"((regexp_matches(x, {_quote(_PHRASES)}) AND length(x) - length(regexp_replace(x, {_quote(_PHRASES)}, '', 'g')) >= {quality.MOST_BOILERPLATE} * length(x))"
+    f"((regexp_matches(x, {_quote(quality.BOILERPLATE)}) AND length(x) - length(regexp_replace(x, {_quote(quality.BOILERPLATE)}, '', 'g')) >= {quality.MOST_BOILERPLATE} * length(x))"
     f" OR regexp_matches(x, {_quote(_NAVIGATION)})"
     f" OR (regexp_matches(x, '{_WORD}') AND NOT regexp_matches(x, {_quote(_SHORT)}) AND NOT regexp_matches(x, {_quote(quality.CLOSED)}))"
     f" OR length(x) - length(regexp_replace(x, {_quote(quality.SYMBOLS)}, '', 'g')) > {quality.MOST_SYMBOLS} * length(x))"
