@@ -15,6 +15,11 @@ def decode_f32(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
 
+def decode_vector(raw: Column, dim: int) -> Column:
+    """As :func:`decode_f32`, but null unless the bytes are a vector of ``dim`` components."""
+    return F.when(F.octet_length(raw) == 4 * dim, decode_f32(raw))
+
+
 @F.pandas_udf(T.BinaryType())
 def encode_f32(vector: pd.Series) -> pd.Series:
     """A vector as little-endian float32 bytes."""

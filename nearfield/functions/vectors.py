@@ -55,7 +55,7 @@ def dim_ok(a: Column, dim: int) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """l2_sq, l2 and cosine_distance as SQL functions of the session."""
+    """l2_sq, l2, cosine_distance and fnv1a64 (unsigned, as text) as SQL functions of the session."""
     fold = "aggregate(zip_with(a, b, (x, y) -> {0}), 0D, (s, x) -> s + x)"
     square = fold.format("(cast(x AS double) - cast(y AS double)) * (cast(x AS double) - cast(y AS double))")
     product = fold.format("cast(x AS double) * cast(y AS double)")
@@ -65,3 +65,8 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION l2_sq{given} {square}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION l2{given} sqrt({square})")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine_distance{given} CASE WHEN {both} < {TINY} THEN 1D ELSE 1D - {product} / ({both}) END")
+    low, high = "(h & 4294967295L) * 435", "shiftrightunsigned(h, 32) * 435"
+    times = f"shiftleft(({high} + shiftrightunsigned({low}, 32) + shiftleft(h & 16777215L, 8)) & 4294967295L, 32) | ({low} & 4294967295L)"
+    octets = "transform(sequence(0, 7), i -> shiftrightunsigned(v, 8 * i) & 255L)"
+    xor = f"aggregate(transform(array(a ^ b), h -> {times}), 0L, (x, y) -> y)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fnv1a64(v BIGINT) RETURNS STRING RETURN conv(hex(aggregate({octets}, {14695981039346656037 - (1 << 64)}L, (a, b) -> {xor})), 16, 10)")

@@ -18,6 +18,16 @@ def authenticate(requests: DataFrame, tokens: DataFrame, header: str = "authoriz
     return requests.withColumn("__t", token).join(known, F.col("__t") == F.col("__token"), "left").withColumn("allowed", F.coalesce("__known", F.lit(False))).drop("__t", "__token", "__known")
 
 
+def add_tokens(tokens: DataFrame, new: DataFrame) -> DataFrame:
+    """The set of tokens (token) with new ones, each once."""
+    return tokens.select("token").union(new.select("token")).where("token is not null").distinct()
+
+
+def remove_tokens(tokens: DataFrame, gone: DataFrame) -> DataFrame:
+    """The set of tokens without some; those that are not in it do nothing."""
+    return tokens.select("token").join(gone.select("token"), "token", "left_anti").distinct()
+
+
 def bucket_step(tokens: float | None, last: float, now: float, capacity: float, refill: float) -> tuple[float, bool]:
     """(tokens left, allowed). A client's first request fills its bucket; a rejected one empties it."""
     if tokens is None:

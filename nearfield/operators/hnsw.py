@@ -88,13 +88,21 @@ class Graph:
         if layer > self.top:
             self.entry, self.top = node, layer
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, ef: int, live: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k nearest found; nodes that are not ``live`` are walked through, and the beam widens until k others are found."""
         if self.entry < 0:
             return []
-        at = self.entry
+        at, width = self.entry, max(ef, k)
         for up in range(self.top, 0, -1):
             at = self.descend(q, at, up)
-        return self.beam(q, at, max(ef, k), 0)[:k]
+        while True:
+            got = self.beam(q, at, width, 0)
+            if live is None:
+                return got[:k]
+            alive = [x for x in got if live[x[1]]]
+            if len(alive) >= k or len(got) < width:
+                return alive[:k]
+            width *= 4
 
 
 def build_graph(ids: np.ndarray, x: np.ndarray, cfg: IndexConfig) -> Graph:
@@ -113,39 +121,58 @@ def build(vectors: DataFrame, cfg: IndexConfig) -> DataFrame:
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node_id")
         g = build_graph(t.vec_id.to_numpy(), np.stack(t.embedding.to_list()).astype(np.float64), cfg)
-        ids, shard = t.vec_id.to_numpy(), int(t.shard_id.iloc[0])
-        rows = [(shard, n, int(ids[n]), lay, g.near[lay].get(n, []), n == g.entry, g.top) for lay in range(g.top + 1) for n in range(g.n) if lay == 0 or n in g.near[lay]]
+        ids, nodes, shard = t.vec_id.to_numpy(), t.node_id.to_numpy(), int(t.shard_id.iloc[0])
+        rows = [(shard, int(nodes[n]), int(ids[n]), lay, nodes[g.near[lay].get(n, [])].tolist(), n == g.entry, g.top) for lay in range(g.top + 1) for n in range(g.n) if lay == 0 or n in g.near[lay]]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in EDGES.split(", ")])
 
     return vectors.select("shard_id", "node_id", "vec_id", "embedding").groupBy("shard_id").applyInPandas(run, EDGES)
 
 
-def search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, cfg: IndexConfig, ef: int | None = None) -> DataFrame:
-    """qid, rank, vec_id, distance: each shard's graph is walked for every query, and the shards' results are merged."""
-    from nearfield.operators.search import merge
+#: Queries that one task walks a shard's graph for.
+QUERY_BLOCK = 1024
 
+
+def partials(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, cfg: IndexConfig, ef: int | None = None) -> DataFrame:
+    """qid, shard_id, node_id, vec_id, d: what each shard's graph gives for each query of (qid, query).
+
+    The graph is read as it is stored, and a task walks it for a block of queries. Of ``vectors`` with a column ``live``, those
+    that are not are walked through and not returned.
+    """
     width = max(ef or cfg.ef_search, k)
-    shards = edges.select("shard_id").distinct()
-    asked = queries.select("qid", "query").crossJoin(shards).select("qid", "query", (F.col("shard_id") + 0).alias("shard_id"))  # one row for each query and shard
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")
+    shards = [r[0] for r in edges.select("shard_id").distinct().collect()]  # as many as the configuration has
+    asked = queries.select("qid", "query", block, F.explode(F.array(*[F.lit(x) for x in shards]) if shards else F.expr("cast(array() as array<int>)")).alias("shard_id"))
     nested = edges.groupBy("shard_id", "node_id").agg(F.collect_list(F.struct("layer", "neighbours")).alias("adj"), F.max("is_entry").alias("is_entry"), F.max("max_layer").alias("max_layer"))
-    stored = nested.join(vectors.select("shard_id", "node_id", "vec_id", "embedding"), ["shard_id", "node_id"])
+    live = F.col("live") if "live" in vectors.columns else F.lit(True)
+    stored = nested.join(vectors.select("shard_id", "node_id", "vec_id", "embedding", live.alias("live")), ["shard_id", "node_id"])
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(t) and len(q):
             t = t.sort_values("node_id")
-            g = Graph(np.stack(t.embedding.to_list()).astype(np.float64), cfg)
+            g, nodes = Graph(np.stack(t.embedding.to_list()).astype(np.float64), cfg), t.node_id.to_numpy()
             for n, adj in enumerate(t.adj):
                 for a in adj:
-                    g.near[a["layer"]][n] = list(a["neighbours"])
+                    g.near[a["layer"]][n] = np.searchsorted(nodes, a["neighbours"]).tolist()
             g.n, g.top = len(t), int(t.max_layer.max())
             g.entry = int(np.flatnonzero(t.is_entry.to_numpy())[0])
-            ids = t.vec_id.to_numpy()
+            ids, shard, alive = t.vec_id.to_numpy(), int(t.shard_id.iloc[0]), t.live.to_numpy(bool)
+            alive = None if alive.all() else alive
             for qid, v in zip(q.qid, q["query"], strict=True):
-                out += [(qid, int(ids[n]), d) for d, n in g.search(np.asarray(v, np.float64), k, width)]
-        return pd.DataFrame(out, columns=["qid", "vec_id", "d"]).astype({"qid": "int64", "vec_id": "int64", "d": "float64"})
+                out += [(qid, shard, int(nodes[n]), int(ids[n]), d) for d, n in g.search(np.asarray(v, np.float64), k, width, alive)]
+        kinds = {"qid": "int64", "shard_id": "int32", "node_id": "int32", "vec_id": "int64", "d": "float64"}
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+
+    return stored.groupBy("shard_id", "block").cogroup(asked.groupBy("shard_id", "block")).applyInPandas(run, "qid long, shard_id int, node_id int, vec_id long, d double")
+
+
+def search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, cfg: IndexConfig, ef: int | None = None) -> DataFrame:
+    """qid, rank, vec_id, distance: each shard's graph is walked for every query, and the shards' results are merged."""
+    from nearfield.operators.search import merge
 
-    return merge(stored.groupBy("shard_id").cogroup(asked.groupBy("shard_id")).applyInPandas(run, "qid long, vec_id long, d double"), k)
+    return merge(partials(vectors, edges, queries, k, cfg, ef).select("qid", "vec_id", "d"), k)
 
 
 def inspect(vectors: DataFrame, edges: DataFrame, node_id: int, shard_id: int = 0) -> DataFrame:

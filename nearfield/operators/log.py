@@ -67,9 +67,46 @@ def record_ok(dim: int) -> Column:
     return (F.col("dim") == dim) & (F.size("embedding") == dim) & (F.col("crc") == crc32_f32(F.col("embedding")))
 
 
-def contiguous(log: DataFrame, lsn: str = "lsn") -> Column:
-    """Whether a row's number is its position; for use after :func:`numbered` with name ``at``."""
-    return F.col(lsn) == F.col("at")
+#: Numbers of a range in which rows are counted before any are sorted.
+RANGE = 1 << 16
+
+
+def prefix_end(log: DataFrame, good: Column, by: list[str], start: DataFrame | None = None, lsn: str = "lsn") -> DataFrame:
+    """(by, start, end) of each log: the numbers from ``start`` (0 where none is given) to before ``end`` are all there and good.
+
+    Whole ranges of numbers are told by their counts; only the first range with a gap is sorted.
+    """
+    own = log.where(F.coalesce(good, F.lit(False))).select(*by, lsn)
+    logs = log.select(*by).distinct()
+    if start is not None:
+        logs = logs.join(start, by, "left")
+    logs = logs.select(*by, (F.coalesce("start", F.lit(0)) if start is not None else F.lit(0)).cast("long").alias("start"))
+    at = own.join(F.broadcast(logs), by).where(F.col(lsn) >= F.col("start")).select(*by, (F.col(lsn) - F.col("start")).alias("__at")).distinct()  # a row a log
+    ranges = at.groupBy(*by, F.floor(F.col("__at") / RANGE).alias("__r")).agg(F.count("*").alias("__n"))
+    placed = ranges.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy("__r")) - 1)  # a row for 65536 numbers
+    whole = (F.col("__r") == F.col("__i")) & (F.col("__n") == RANGE)
+    edge = placed.groupBy(*by).agg(F.coalesce(F.min(F.when(~whole, F.col("__i"))), F.count("*")).cast("long").alias("__edge"))
+    last = at.join(F.broadcast(edge), by).where(F.floor(F.col("__at") / RANGE) == F.col("__edge"))  # a row a log
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__at")) - 1 + F.col("__edge") * RANGE
+    more = last.withColumn("__ok", rank == F.col("__at")).groupBy(*by).agg(F.count_if("__ok").alias("__more"))
+    found = edge.join(more, by, "left").select(*by, (F.col("__edge") * RANGE + F.coalesce("__more", F.lit(0))).alias("__len"))
+    return logs.join(found, by, "left").select(*by, "start", (F.col("start") + F.coalesce("__len", F.lit(0))).alias("end"))
+
+
+def contiguous_prefix(log: DataFrame, good: Column, by: list[str], start: DataFrame | None = None, lsn: str = "lsn") -> DataFrame:
+    """The records of each log from ``start`` on, as far as their numbers follow each other and all are good."""
+    ends = prefix_end(log, good, by, start, lsn).select(*by, F.col("start").alias("__start"), F.col("end").alias("__end"))
+    return log.where(F.coalesce(good, F.lit(False))).join(F.broadcast(ends), by).where((F.col(lsn) >= F.col("__start")) & (F.col(lsn) < F.col("__end"))).drop("__start", "__end")  # a row a log
+
+
+def introspect(log: DataFrame, by: list[str], every: int, lsn: str = "lsn", size: Column | None = None) -> DataFrame:
+    """(by, current_lsn, checkpoint_lsn, bytes) of each log: the next number, that of the last automatic checkpoint, its size.
+
+    ``size``: bytes of a record; by default its vector's and 24 for what precedes it.
+    """
+    size = F.size("embedding") * 4 + 24 if size is None else size
+    got = log.groupBy(*by).agg((F.max(lsn) + 1).alias("current_lsn"), F.sum(size).cast("long").alias("bytes"))
+    return got.select(*by, "current_lsn", checkpoint_lsn(F.col("current_lsn"), every).alias("checkpoint_lsn"), "bytes")
 
 
 def checkpoint_lsn(count: Column, every: int) -> Column:

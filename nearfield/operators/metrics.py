@@ -61,14 +61,43 @@ def lifetime_rate(count: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, count / seconds).otherwise(0.0)
 
 
+#: Ranges that a selection counts at a time, and rows that it sorts in the end.
+CELLS, FEW = 1024, 100_000
+
+
+def values_at(events: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """The values at positions ``ranks`` of the sorted values, without sorting them.
+
+    The range of values is cut into cells whose rows are counted; the cell with a rank is cut again, until it holds few rows
+    or one value. Only counts and at most a hundred thousand values come to the driver.
+    """
+    v = F.col(value).cast("double")
+    some = events.where(v.isNotNull()).select(v.alias("v"))
+    out: list[float] = []
+    for rank in ranks:
+        lo, hi, before = *some.agg(F.min("v"), F.max("v")).first(), 0
+        here = some
+        while True:
+            n = here.count()
+            if n <= FEW or lo == hi:
+                break
+            width = (hi - lo) / CELLS
+            cell = F.least(F.lit(CELLS - 1), F.floor((F.col("v") - lo) / width)).cast("int")
+            counts = sorted(here.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+            for c, m, a, b in counts:
+                if rank < before + m:
+                    here, lo, hi = here.where((F.col("v") >= a) & (F.col("v") <= b)), a, b
+                    break
+                before += m
+        out.append(lo if lo == hi else sorted(r[0] for r in here.collect())[rank - before])
+    return out
+
+
 def ranked_percentiles(events: DataFrame, value: str) -> DataFrame:
     """p50, p95, p99 as the value at position floor(p * n) of the sorted values."""
     n = events.where(F.col(value).isNotNull()).count()
-    if not n:
-        return events.sparkSession.createDataFrame([(None, None, None)], "p50 double, p95 double, p99 double")
-    # the value at position i is the exact discrete percentile of (i + 1) / n, taken half a step lower
-    at = [min(int(p * n), n - 1) for p in LEVELS]
-    return events.agg(*[F.expr(f"percentile_disc({(i + 0.5) / n}D) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * p)}") for i, p in zip(at, LEVELS, strict=True)])
+    got = values_at(events, value, [min(int(p * n), n - 1) for p in LEVELS]) if n else [None] * len(LEVELS)
+    return events.sparkSession.createDataFrame([tuple(got)], "p50 double, p95 double, p99 double")
 
 
 def gflops(calls_per_second: Column, dim: int) -> Column:
@@ -79,6 +108,23 @@ def status(healthy: Column) -> Column:
     return F.when(healthy, "healthy").otherwise("degraded")
 
 
+def iso_utc(ts: Column) -> Column:
+    """Seconds of a timestamp in UTC, whatever the session's zone: 2024-01-31T12:00:00Z."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def document(shards: DataFrame, rates: DataFrame, levels: DataFrame, now_ms: Column) -> DataFrame:
+    """document: one JSON text of what a dashboard polls, from (id, vectors, status), one row of counts and rates, and one of levels.
+
+    ``rates`` has insert_rate, search_rate, total_inserts, total_searches; ``levels`` has p50, p95, p99 in microseconds.
+    """
+    one = F.lit(1).alias("one")
+    listed = shards.groupBy(one).agg(F.sum("vectors").alias("total_vectors"), F.array_sort(F.collect_list(F.struct("id", "vectors", "status"))).alias("shards"))  # a row a shard
+    row = listed.join(rates.select("*", one), "one").join(levels.select("*", one), "one")
+    names = ["total_vectors", "insert_rate", "search_rate", F.col("p50").alias("p50_us"), F.col("p95").alias("p95_us"), F.col("p99").alias("p99_us"), "total_inserts", "total_searches", now_ms.alias("ts"), "shards"]
+    return row.select(F.to_json(F.struct(*names)).alias("document"))
+
+
 def human(n: Column) -> Column:
     """Counts as text: 1.2M, 3.4K, 56."""
     return F.when(n >= 1e6, F.concat(F.format_string("%.1f", F.round(n / 1e6, 1)), F.lit("M"))).when(n >= 1e3, F.concat(F.format_string("%.1f", F.round(n / 1e3, 1)), F.lit("K"))).otherwise(n.cast("long").cast("string"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.hashing import fnv1a64_long, fnv_long_array, fnv_text, unsigned_text, vnode_key
+from nearfield.functions.hashing import fnv1a64_long, fnv1a64_string, fnv_long_array, unsigned_text, vnode_key
 
 #: Points that may be sent to every task.
 MOST_POINTS = 1 << 22
@@ -49,16 +49,15 @@ def owner(ids: Column, shards: int, vnodes: int = 150) -> Column:
 
 
 def owner_of_text(key: Column, shards: int, vnodes: int = 150) -> Column:
-    """Owning shard of a string."""
+    """Owning shard of a string; its bytes are hashed in the JVM."""
     h, shard = _points(shards, vnodes)
 
     @F.pandas_udf("int")
     def of(v: pd.Series) -> pd.Series:
-        known = v.dropna()
-        at = np.searchsorted(h, np.array([fnv_text(x) for x in known], np.uint64)) % len(h)
-        return pd.Series(shard[at], index=known.index, dtype="Int32").reindex(v.index)
+        at = np.searchsorted(h, v.fillna(0).to_numpy(np.int64).view(np.uint64)) % len(h)
+        return pd.Series(shard[at], dtype="Int32").where(v.notna().to_numpy())
 
-    return of(key)
+    return of(fnv1a64_string(key))
 
 
 def affected_on_add(spark: SparkSession, shards: int, vnodes: int = 150) -> DataFrame:

@@ -137,6 +137,11 @@ def envelope(health: DataFrame, strict: bool = False) -> DataFrame:
     return health.agg(ok.alias("shards_ok"), err.alias("shards_err")).withColumn("degraded", F.col("shards_err") > 0)
 
 
+def healthy_only(vectors: DataFrame, health: DataFrame) -> DataFrame:
+    """The vectors of shards that (shard_id, healthy) tells to be healthy; a shard it does not tell of gives none."""
+    return vectors.join(F.broadcast(health.where("healthy").select("shard_id").distinct()), "shard_id", "left_semi")  # a row a shard
+
+
 def pairs_within(vectors: DataFrame, most_d2: float) -> DataFrame:
     """a, b, d2 for a < b at a squared distance below ``most_d2``; blocks of vectors against the table."""
     spark, out = vectors.sparkSession, None

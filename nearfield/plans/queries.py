@@ -110,6 +110,18 @@ def knn_shard_merge(spark, d):
     return part.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("qid", "rank", "vec_id", F.col("shard_id").cast("int").alias("shard_id"), r6(F.sqrt("d")).alias("distance"))
 
 
+@query(
+    f"WITH {ring_sql(3)}, o AS (SELECT vec_id, embedding, {owner_sql(HASH.format('vec_id'))} AS shard_id FROM embeddings) "
+    f"SELECT a.vec_id AS qid, row_number() OVER (PARTITION BY a.vec_id ORDER BY {D}, b.vec_id) AS rank, b.vec_id, round({D}, 6) AS distance FROM embeddings a, o b WHERE a.vec_id % 20 = 0 AND b.shard_id != 1 QUALIFY rank <= 10"
+)
+def knn_healthy_shards(spark, d):
+    """A shard that is down gives no rows."""
+    v = vectors(spark, d)
+    sharded = v.withColumn("shard_id", ring.owner(F.col("vec_id"), 3))
+    health = spark.range(3).select(F.col("id").cast("int").alias("shard_id"), (F.col("id") != 1).alias("healthy"))
+    return search.batch_top_k(search.healthy_only(sharded, health), asked(v), 10).withColumn("distance", r6("distance"))
+
+
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({D} * {D}, 6) AS d2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def l2_sq_pairs(spark, d):
     v = vectors(spark, d)
@@ -203,6 +215,19 @@ def node_inspect(spark, d):
     return one.join(listed, F.col("vec_id") == F.col("qid")).select("vec_id", V.preview(F.col("embedding")).alias("preview"), "neighbours")
 
 
+@query(
+    f"WITH g AS (SELECT a.vec_id AS node, b.vec_id AS nbr, row_number() OVER (PARTITION BY a.vec_id ORDER BY {D}, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id != b.vec_id QUALIFY rank <= 8) "
+    "SELECT vec_id, embedding[1:8] AS preview, 1 AS max_layer, layer, (SELECT list(nbr::INT ORDER BY rank) FROM g WHERE node = 7 AND rank <= CASE layer WHEN 0 THEN 8 ELSE 3 END) AS neighbours FROM embeddings, range(2) t(layer) WHERE vec_id = 7"
+)
+def graph_node_inspect(spark, d):
+    """A node of a stored graph: preview, top layer, neighbours by layer. The graph is the exact one, with two layers."""
+    v = vectors(spark, d).select("vec_id", "embedding", F.col("vec_id").cast("int").alias("node_id"), F.lit(0).alias("shard_id"))
+    near = search.knn_graph(v, 8).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"].cast("int")).alias("all"))
+    layers = F.explode(F.array(F.struct(F.lit(0).alias("layer"), F.col("all").alias("neighbours")), F.struct(F.lit(1).alias("layer"), F.slice("all", 1, 3).alias("neighbours"))))
+    edges = near.select(F.lit(0).alias("shard_id"), F.col("node").cast("int").alias("node_id"), layers.alias("x"), F.lit(1).alias("max_layer")).select("shard_id", "node_id", "x.layer", "x.neighbours", "max_layer")
+    return hnsw.inspect(v, edges, 7).select("vec_id", "preview", "max_layer", F.explode("layers").alias("x")).select("vec_id", "preview", "max_layer", F.col("x.layer").cast("long").alias("layer"), "x.neighbours")
+
+
 def _by_half(v: DataFrame, k: int) -> DataFrame:
     """An approximate search: by the first half of each vector."""
     half = v.withColumn("embedding", F.slice("embedding", 1, 32))
@@ -219,13 +244,13 @@ def recall_at_k(spark, d):
 @query(
     f"WITH t AS (SELECT a.vec_id AS qid, max(d) AS dk FROM (SELECT a.vec_id, {D} AS d FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {D}, b.vec_id) <= 10) a GROUP BY 1), "
     f"f AS (SELECT a.vec_id AS qid, {D} AS d FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {HALF}, b.vec_id) <= 10) "
-    "SELECT qid, avg(CASE WHEN d*d <= 1.2*dk*dk + 1e-12 THEN 1.0 ELSE 0.0 END) AS recall FROM f JOIN t USING (qid) GROUP BY qid"
+    "SELECT qid, avg(CASE WHEN d*d <= 2*dk*dk + 1e-12 THEN 1.0 ELSE 0.0 END) AS recall FROM f JOIN t USING (qid) GROUP BY qid"
 )
 def recall_by_distance(spark, d):
     v = vectors(spark, d)
     q = asked(v)
     found = _by_half(v, 10).select("qid", "vec_id").join(q, "qid").join(v.select("vec_id", "embedding"), "vec_id")
-    return search.recall_by_distance(search.batch_top_k(v, q, 10), found.select("qid", "vec_id", V.l2(F.col("embedding"), F.col("query")).alias("distance")), 1.2)
+    return search.recall_by_distance(search.batch_top_k(v, q, 10), found.select("qid", "vec_id", V.l2(F.col("embedding"), F.col("query")).alias("distance")), 2.0)
 
 
 @query("SELECT count(*) FILTER (WHERE s != 2) AS shards_ok, count(*) FILTER (WHERE s = 2) AS shards_err, true AS degraded FROM range(3) t(s)")
@@ -365,6 +390,66 @@ def wal_truncate_rebase(spark, d):
     return log.truncate(rows, 500, 100)
 
 
+@query("SELECT user_id, count(*) AS current_lsn, count(*) // 10 * 10 AS checkpoint_lsn, (sum(strlen(props)) + 24 * count(*))::BIGINT AS bytes FROM events GROUP BY user_id")
+def wal_introspection(spark, d):
+    """Next number, last checkpoint and size of a log for each user."""
+    rows = log.numbered(table(spark, d, "events").select("user_id", "event_id", "props"), "event_id", "lsn", ["user_id"])
+    return log.introspect(rows, ["user_id"], 10, size=F.octet_length("props") + 24)
+
+
+@query(
+    "WITH n AS (SELECT event_id, user_id % 5 AS shard, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) - 1 AS lsn FROM events), b AS (SELECT shard, min(lsn) AS bad FROM n WHERE event_id % 701 = 700 OR event_id % 911 = 910 GROUP BY shard) "
+    "SELECT event_id, n.shard, lsn FROM n LEFT JOIN b USING (shard) WHERE bad IS NULL OR lsn < bad"
+)
+def wal_contiguous_prefix(spark, d):
+    """Replay ends at a record that is missing as it does at one that is bad."""
+    rows = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("shard"))
+    logged = log.numbered(rows, "event_id", "lsn", ["shard"]).where("event_id % 701 != 700")
+    return log.contiguous_prefix(logged, F.col("event_id") % 911 != 910, ["shard"])
+
+
+def _collection(spark: SparkSession, dim: int):
+    from nearfield.collection import Collection
+    from nearfield.config import CollectionConfig
+
+    return Collection(spark, _scratch(spark), CollectionConfig(IndexConfig(dim=dim)))
+
+
+TWICE = "(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+@query(f"SELECT a.vec_id AS qid, row_number() OVER (PARTITION BY a.vec_id ORDER BY {D}, b.vec_id) AS rank, b.vec_id, round({D}, 6) AS distance FROM embeddings a, {TWICE} b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 4")
+def collection_ids_inserted_twice(spark, d):
+    """Both vectors of an id are results of their own."""
+    c, v = _collection(spark, 64), vectors(spark, d).select("vec_id", "embedding")
+    c.bulk_insert(v)
+    c.bulk_insert(v.where("vec_id % 20 = 0"))
+    return c.search(asked(v), 4).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id", r6("distance").alias("distance"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS dim FROM embeddings")
+def collection_insert_after_torn_record(spark, d):
+    """Numbers go on from the valid prefix, so what is inserted after a torn record is there."""
+    c, v = _collection(spark, 64), vectors(spark, d).select("vec_id", "embedding")
+    c.bulk_insert(v.where("vec_id % 2 = 0"))
+    torn = c.log.groupBy("shard_id").agg((F.max("lsn") + 1).alias("lsn"), F.max("epoch").alias("epoch"), F.first("embedding").alias("embedding"))
+    torn = torn.select("shard_id", "lsn", F.lit(-1).cast("long").alias("vec_id"), F.lit(64).alias("dim"), F.lit(0).cast("long").alias("crc"), "embedding", F.lit(None).cast("string").alias("metadata"), "epoch")
+    torn.write.mode("append").partitionBy("shard_id").parquet(f"{c.path}/log")
+    c.bulk_insert(v.where("vec_id % 2 != 0"))
+    return c.vectors.select("vec_id", F.size("embedding").alias("dim"))
+
+
+@query(f"SELECT a.vec_id AS qid, row_number() OVER (PARTITION BY a.vec_id ORDER BY {D}, b.vec_id) AS rank, b.vec_id, round({D}, 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label != 3 QUALIFY rank <= 5")
+def collection_snapshot_truncate(spark, d):
+    """Snapshot, shortened log, deletes and later inserts give the vectors back."""
+    c, v = _collection(spark, 64), vectors(spark, d)
+    c.bulk_insert(v.where("vec_id % 3 != 0").select("vec_id", "embedding"))
+    c.snapshot(truncate=True)
+    c.bulk_insert(v.where("vec_id % 3 = 0").select("vec_id", "embedding"))
+    c.delete(v.where("label = 3").select("vec_id"))
+    return c.search(asked(v), 5).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id", r6("distance").alias("distance"))
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label != 3")
 def delete_tombstone(spark, d):
     v = vectors(spark, d).select("vec_id", "label")
@@ -502,14 +587,30 @@ def any_degraded(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.bool_or(F.col("user_id") % 40 == 0).alias("any_degraded"))
 
 
-@query()
-def metrics_document(spark, d):
-    p = histogram_percentiles(spark, d)
-    totals = latencies(spark, d).agg(F.count("*").alias("total"))
-    return p.crossJoin(totals).select(F.to_json(F.struct("p50", "p95", "p99", "total")).alias("document"))
+LAST = "(SELECT max(ts) FROM events)"
 
 
-@query()
+@query(
+    f"WITH {HIST}, {ring_sql(3)}, {ROUTED}, c AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) / sum(n) OVER () AS s FROM h), m AS (SELECT [50.0, 150, 250, 400, 625, 875, 1500, 3000]::DOUBLE[] AS m), "
+    "pc AS (SELECT m[min(bucket) FILTER (WHERE s >= 0.5) + 1] AS p50, m[min(bucket) FILTER (WHERE s >= 0.95) + 1] AS p95, m[min(bucket) FILTER (WHERE s >= 0.99) + 1] AS p99 FROM c, m GROUP BY m), "
+    "l AS (SELECT s AS id, count(c_custkey) AS n FROM range(3) t(s) LEFT JOIN o ON o.shard_id = s GROUP BY s), "
+    f"e AS (SELECT count(*) FILTER (WHERE event_type = 'click') AS i, count(*) FILTER (WHERE event_type != 'click') AS q, count(*) FILTER (WHERE event_type = 'click' AND ts > {LAST} - INTERVAL 1 SECOND) AS ir, count(*) FILTER (WHERE event_type != 'click' AND ts > {LAST} - INTERVAL 1 SECOND) AS qr FROM events) "
+    "SELECT '{\"total_vectors\":' || (SELECT sum(n) FROM l) || ',\"insert_rate\":' || ir || ',\"search_rate\":' || qr || ',\"p50_us\":' || p50 || ',\"p95_us\":' || p95 || ',\"p99_us\":' || p99 || ',\"total_inserts\":' || i || ',\"total_searches\":' || q || "
+    f"',\"ts\":' || (epoch_us({LAST}) // 1000) || ',\"shards\":[' || (SELECT string_agg('{{\"id\":' || id || ',\"vectors\":' || n || ',\"status\":\"' || CASE WHEN id != 1 THEN 'healthy' ELSE 'degraded' END || '\"}}', ',' ORDER BY id) FROM l) || ']}}' AS document FROM e, pc"
+)
+def metrics_document(spark, d):
+    e = latencies(spark, d)
+    last = e.agg(F.max("ts").alias("last"))
+    recent = F.col("ts") > F.col("last") - F.expr("INTERVAL 1 SECOND")
+    click = F.col("event_type") == "click"
+    rates = e.withColumn("k", F.lit(1)).join(F.broadcast(last.withColumn("k", F.lit(1))), "k").agg(  # one row
+        F.count_if(click & recent).alias("insert_rate"), F.count_if(~click & recent).alias("search_rate"), F.count_if(click).alias("total_inserts"), F.count_if(~click).alias("total_searches"), F.max(F.unix_millis("last")).alias("now")
+    )
+    shards = load_distribution(spark, d).select(F.col("shard_id").alias("id"), F.col("n").alias("vectors"), metrics.status(F.col("shard_id") != 1).alias("status"))
+    return metrics.document(shards, rates, histogram_percentiles(spark, d), F.col("now"))
+
+
+@query(f"SELECT least(floor(-ln((({HASH.format('o_orderkey')}) // 2048)::DOUBLE / 9007199254740992.0::DOUBLE + 1e-15::DOUBLE) / ln(16.0::DOUBLE)), 5)::BIGINT AS layer, count(*) AS n FROM orders GROUP BY 1")
 def layer_sampling(spark, d):
     """How many vectors each layer would get."""
     one = F.pandas_udf(lambda v: __import__("pandas").Series(hnsw.layer_of(v.to_numpy(), 16, 6)), "long")
@@ -526,17 +627,33 @@ def auth_check(spark, d):
     return admission.authenticate(e, tokens).select("event_id", "allowed")
 
 
-@query()
+#: A client's bucket, folded in the order of its requests: capacity 3, one token an hour.
+BUCKET_SQL = (
+    "WITH RECURSIVE q AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "f AS (SELECT user_id, event_id, t, i, 2.0::DOUBLE AS tokens, true AS allowed FROM q WHERE i = 1 "
+    "UNION ALL SELECT q.user_id, q.event_id, q.t, q.i, greatest(0.0::DOUBLE, least(3.0::DOUBLE, f.tokens + (q.t - f.t) * (1.0::DOUBLE / 3600.0::DOUBLE)) - 1.0::DOUBLE), least(3.0::DOUBLE, f.tokens + (q.t - f.t) * (1.0::DOUBLE / 3600.0::DOUBLE)) - 1.0::DOUBLE >= 0 FROM f JOIN q ON q.user_id = f.user_id AND q.i = f.i + 1) "
+)
+
+
+@query(BUCKET_SQL + "SELECT user_id, event_id, allowed, round(tokens, 6) AS tokens FROM f")
 def token_bucket(spark, d):
-    return admission.token_bucket(table(spark, d, "events"), "user_id", "ts", "event_id", capacity=3, refill=1 / 3600)
+    return admission.token_bucket(table(spark, d, "events"), "user_id", "ts", "event_id", capacity=3, refill=1 / 3600).withColumn("tokens", r6("tokens"))
 
 
-@query()
+@query(BUCKET_SQL + "SELECT event_id, CASE WHEN NOT (event_type IN ('click', 'view') AND event_id % 4 != 1) THEN 'UNAUTHENTICATED' WHEN NOT allowed THEN 'RESOURCE_EXHAUSTED' ELSE 'OK' END AS status FROM f JOIN (SELECT event_id, event_type FROM events) USING (event_id)")
 def request_gate(spark, d):
     admitted = token_bucket(spark, d).select("event_id", F.col("allowed").alias("admitted"))
     return auth_check(spark, d).join(admitted, "event_id").select("event_id", admission.gate(F.col("allowed"), F.col("admitted")).alias("status"))
 
 
+@query("SELECT DISTINCT event_type AS token FROM events WHERE event_type != 'view' UNION SELECT DISTINCT source FROM documents")
+def token_set(spark, d):
+    """Tokens added to a set and taken from it."""
+    known = table(spark, d, "events").select(F.col("event_type").alias("token"))
+    more = admission.add_tokens(known, table(spark, d, "documents").select(F.col("source").alias("token")))
+    return admission.remove_tokens(more, spark.createDataFrame([("view",), ("never there",)], "token string"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -545,8 +662,13 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='nearfield-stream-')}"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
+    return f"{base}/run-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -565,17 +687,17 @@ def stream_bulk_insert(spark, d):
     return spark.read.parquet(f"{at}/counts").agg(F.sum("inserted").alias("inserted"), F.sum("failed").alias("failed"))
 
 
-@query("SELECT * FROM (SELECT date_trunc('hour', ts) AS tick, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE tick + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)")
+@query("SELECT * FROM (SELECT date_trunc('second', ts) AS tick, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE tick + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)")
 def stream_tumbling_rates(spark, d):
     from nearfield.streaming.ingest import tick_rates
 
     at = _scratch(spark)
-    q = tick_rates(_stream(spark, d, "events"), "ts", "event_type", 3600).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
+    q = tick_rates(_stream(spark, d, "events"), "ts", "event_type", 1).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("tick").cast("timestamp_ntz").alias("tick"), "event_type", "n")
 
 
-@query()
+@query(BUCKET_SQL + "SELECT user_id AS client, event_id AS ord, allowed FROM f")
 def stream_token_bucket(spark, d):
     from nearfield.streaming.ingest import stream_token_bucket as stateful
 

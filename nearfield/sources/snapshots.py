@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.hnsw import EDGES
-from nearfield.sources import segments
+from nearfield.sources import pointer, segments
 
 GRAPH = "shard_id int, node_id int, adj array<struct<l: array<int>>>"
 
@@ -29,54 +29,43 @@ def read_graph_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select("shard_id", "node_id", F.posexplode("adj").alias("layer", "a")).select("shard_id", "node_id", "layer", F.col("a.l").alias("neighbours"))
 
 
-def _pointer(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def save(vectors: DataFrame, edges: DataFrame, log: DataFrame | None, path: str) -> str:
-    """Write a new version and then point to it; returns its name. A failure leaves the version before."""
-    spark, name = vectors.sparkSession, f"v-{uuid.uuid4().hex}"
+def save(vectors: DataFrame, edges: DataFrame, log: DataFrame | None, path: str, name: str | None = None, more: dict[str, DataFrame] | None = None) -> str:
+    """Write a new version, with more tables by name, and then point to it; returns its name. A failure leaves the version before."""
+    spark, name = vectors.sparkSession, name or f"v-{uuid.uuid4().hex}"
+    for table, df in (more or {}).items():
+        df.write.parquet(f"{path}/{name}/{table}")
     segments.create(vectors, f"{path}/{name}/vectors")
     edges.write.partitionBy("shard_id").parquet(f"{path}/{name}/graph")
     upto = log.groupBy("shard_id").agg(F.max("lsn").alias("max_lsn")) if log is not None else spark.createDataFrame([], "shard_id int, max_lsn long")
-    upto.coalesce(1).write.parquet(f"{path}/{name}/upto")
-    p, fs = _pointer(spark, path)
-    temp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.CURRENT-{name}")
-    out = fs.create(temp, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(temp, p)
+    upto.coalesce(1).write.parquet(f"{path}/{name}/upto")  # a row a shard
+    pointer.put(spark, path, name)
     return name
 
 
 def current(spark: SparkSession, path: str) -> str | None:
-    p, fs = _pointer(spark, path)
-    if not fs.exists(p):
-        return None
-    return spark.read.text(p.toString()).first()[0]
+    return pointer.get(spark, path)
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vectors, graph and reached log numbers of the current version. Raises if the two disagree on the nodes."""
+def load(spark: SparkSession, path: str, check: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, graph and reached log numbers of the current version. With ``check``, raises if the two disagree on the nodes."""
     name = current(spark, path)
     if name is None:
         raise FileNotFoundError(f"no snapshot in {path}")
     vectors = segments.read(spark, f"{path}/{name}/vectors")
     edges = spark.read.schema(EDGES).parquet(f"{path}/{name}/graph")
     nodes = edges.where("layer = 0").select("shard_id", "node_id").distinct()
-    if vectors.join(nodes, ["shard_id", "node_id"], "full_outer").where(F.col("embedding").isNull()).count() or vectors.count() != nodes.count():
+    if check and (vectors.join(nodes, ["shard_id", "node_id"], "full_outer").where(F.col("embedding").isNull()).count() or vectors.count() != nodes.count()):
         raise ValueError("vectors and graph of the snapshot have different nodes")
     return vectors, edges, spark.read.schema("shard_id int, max_lsn long").parquet(f"{path}/{name}/upto")
 
 
 def recover(log: DataFrame, vectors: DataFrame | None, upto: DataFrame | None, dim: int) -> DataFrame:
-    """shard_id, lsn, vec_id, embedding: what a snapshot lacks of each shard's valid prefix, each record once."""
-    from nearfield.operators.log import record_ok, valid_prefix
+    """shard_id, lsn, vec_id, embedding: what a snapshot lacks of each shard's valid prefix, each record once.
+
+    Records beyond the snapshot count as far as their numbers follow on from it without a gap; without a snapshot, from 0.
+    """
+    from nearfield.operators.log import contiguous_prefix, record_ok
 
-    good = valid_prefix(log.dropDuplicates(["shard_id", "lsn"]), record_ok(dim), ["shard_id"])
-    if upto is not None:
-        good = good.join(upto, "shard_id", "left").where(F.col("max_lsn").isNull() | (F.col("lsn") > F.col("max_lsn")))
-    return good.select("shard_id", "lsn", "vec_id", "embedding")
+    start = None if upto is None else upto.select("shard_id", (F.col("max_lsn") + 1).alias("start"))
+    more = ["metadata"] if "metadata" in log.columns else []
+    return contiguous_prefix(log, record_ok(dim), ["shard_id"], start).dropDuplicates(["shard_id", "lsn"]).select("shard_id", "lsn", "vec_id", "embedding", *more)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,6 +36,23 @@ def tick_rates(stream: DataFrame, ts: str, kind: str, seconds: int = 1, late: st
     return counted.select(F.col("w.start").alias("tick"), kind, "n")
 
 
+def poll(spark: SparkSession, document: Callable[[], DataFrame], path: str, checkpoint: str, seconds: int = 1) -> StreamingQuery:
+    """Every ``seconds`` append what ``document`` gives then to ``path``, under the number of the tick; runs until stopped.
+
+    A tick that is run again after a failure replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        document().write.mode("overwrite").parquet(f"{path}/tick={number}")
+
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def polled(spark: SparkSession, path: str, most: int = 60) -> DataFrame:
+    """The latest ticks of :func:`poll`, with their number."""
+    return spark.read.option("basePath", path).parquet(f"{path}/tick=*").orderBy(F.col("tick").desc()).limit(most)
+
+
 def stream_token_bucket(stream: DataFrame, client: str, ts: str, order: str, capacity: float, refill: float) -> DataFrame:
     """client, order, allowed over a stream; a bucket's state outlives the batches."""
 

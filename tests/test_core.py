@@ -264,6 +264,13 @@ def test_decoding(spark):
     assert [(r.v, r.s, r.k) for r in got] == [([1.0, 2.5], None, 7), (None, None, 5), ([], None, 5)]
 
 
+def test_generated_vectors_do_not_depend_on_partitions(spark):
+    for make in (generate.gaussian, generate.uniform):
+        a = {r.vec_id: r.embedding for r in make(spark, 50, 6).collect()}
+        b = {r.vec_id: r.embedding for r in make(spark, 50, 6).repartition(7).collect()}
+        assert a == b
+
+
 def test_generated_vectors(spark):
     for make in (generate.gaussian, generate.uniform):
         v = make(spark, 50, 6)
@@ -296,6 +303,134 @@ def test_collection(spark, tmp_path):
     assert len(info) == 3 and info[0].total_vectors == 32 and "ok" in c.health().first()[0]
 
 
+def _torn(c, spark):
+    """A record at the end of each shard's log whose checksum is wrong."""
+    end = c.log.groupBy("shard_id").agg((F.max("lsn") + 1).alias("lsn"), F.max("epoch").alias("epoch"), F.first("embedding").alias("embedding"))
+    torn = end.select("shard_id", "lsn", F.lit(-5).cast("long").alias("vec_id"), F.lit(4).alias("dim"), F.lit(0).cast("long").alias("crc"), "embedding", F.lit("torn").alias("metadata"), "epoch")
+    torn.write.mode("append").partitionBy("shard_id").parquet(f"{c.path}/log")
+
+
+def test_collection_goes_on_after_a_torn_record(spark, tmp_path):
+    c = Collection(spark, f"{tmp_path}/c", CollectionConfig(IndexConfig(dim=4, ef_construction=20), checkpoint_every=4))
+    rows = lambda *ids: spark.createDataFrame([(i, [float(i), 1.0, 0.0, 0.0]) for i in ids], "vec_id long, embedding array<float>")
+    c.bulk_insert(rows(*range(10)))
+    for new in (100, 101):
+        _torn(c, spark)
+        assert c.insert(new, [float(new), 1, 0, 0])["inserted"] == 1
+    assert sorted(r.vec_id for r in c.vectors.collect()) == [*range(10), 100, 101]
+    assert [r.vec_id for r in c.search(queries(spark, [[100.2, 1, 0, 0]]), 2).orderBy("rank").collect()] == [100, 101]
+    ends = {r.shard_id: r.current_lsn for r in c.wal().collect()}
+    assert sum(ends.values()) == 12 and {r.checkpoint_lsn % 4 for r in c.wal().collect()} == {0}
+    assert sum(r.bytes for r in c.wal().collect()) == 12 * (4 * 4 + 24)
+    # a gap in the numbers ends what is valid
+    shard = max(ends, key=ends.get)
+    gap = c.log.where((F.col("shard_id") == shard) & (F.col("lsn") == 2)).count()
+    assert gap == 1 and log.contiguous_prefix(c.log.where((F.col("shard_id") != shard) | (F.col("lsn") != 2)), log.record_ok(4), ["shard_id"]).where(F.col("shard_id") == shard).count() == 2
+
+
+def test_collection_with_ids_inserted_twice(spark, tmp_path):
+    c = Collection(spark, f"{tmp_path}/c", CollectionConfig(IndexConfig(dim=4, ef_construction=20)))
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 0.0, 0.0], f"m{i}") for i in range(20)], "vec_id long, embedding array<float>, metadata string")
+    c.bulk_insert(rows)
+    c.insert(3, [3.5, 1, 0, 0], "again")
+    for mode in ("exact", "hnsw"):
+        got = c.search(queries(spark, [[3.0, 1, 0, 0]]), 3, mode=mode).orderBy("rank").collect()
+        assert [(r.vec_id, r.metadata) for r in got] == [(3, "m3"), (3, "again"), (2, "m2")]
+
+
+def test_collection_searches_the_stored_graph(spark, tmp_path):
+    cfg = CollectionConfig(IndexConfig(dim=8, m=8, m_max0=16, ef_construction=40, ef_search=60))
+    c = Collection(spark, f"{tmp_path}/c", cfg)
+    x = unit(400, 8, 3)
+    c.bulk_insert(vecs(spark, x[:300]))
+    c.snapshot(truncate=True)
+    assert c.log.count() == 0 and c.vectors.count() == 300
+    c.bulk_insert(spark.createDataFrame([(300 + i, [float(v) for v in x[300 + i]]) for i in range(100)], "vec_id long, embedding array<float>"))
+    c.delete(spark.range(0, 400, 7).select(F.col("id").alias("vec_id")))
+    q = queries(spark, unit(20, 8, 9))
+    exact, walked = c.search(q, 10), c.search(q, 10, mode="hnsw")
+    assert exact.where("vec_id % 7 = 0").count() == 0 and walked.where("vec_id % 7 = 0").count() == 0
+    assert walked.count() == 200 and search.recall(exact, walked).agg(F.avg("recall")).first()[0] >= 0.9
+    health = spark.createDataFrame([(0, True), (1, False), (2, True)], "shard_id int, healthy boolean")
+    for mode in ("exact", "hnsw"):
+        assert c.search(q, 10, mode=mode, health=health).where("shard_id = 1").count() == 0
+    assert {r.shard_id: r.status for r in c.info(health).collect()} == {0: "healthy", 1: "degraded", 2: "healthy"}
+    assert sum(c.shard_size(s) for s in range(3)) == c.vectors.count()
+    for bad in (-1, 3):
+        with pytest.raises(IndexError):
+            c.shard_size(bad)
+
+
+def test_a_pointer_is_replaced_in_one_step(spark, tmp_path):
+    from nearfield.sources import pointer
+
+    at = f"file://{tmp_path}/p"
+    assert pointer.get(spark, at) is None
+    for x in ("a", "b", "c"):
+        pointer.put(spark, at, x)
+        assert pointer.get(spark, at) == x
+    (tmp_path / "p" / ".half-written").write_text("d")  # a writer that was stopped
+    assert pointer.get(spark, at) == "c" and sorted(p.name for p in (tmp_path / "p").glob("CURRENT-*")) == ["CURRENT-000000000002", "CURRENT-000000000003"]
+
+
+def test_ranges_of_numbers(spark, monkeypatch):
+    monkeypatch.setattr(log, "RANGE", 8)
+    for missing, end in ((None, 40), (0, 0), (7, 7), (8, 8), (21, 21), (39, 39)):
+        rows = [(1, i) for i in range(40) if i != missing] * 2 + [(2, 5)]
+        got = {r.s: r.end for r in log.prefix_end(spark.createDataFrame(rows, "s int, lsn long"), F.lit(True), ["s"]).collect()}
+        assert got == {1: end, 2: 0}
+    start = spark.createDataFrame([(1, 10)], "s int, start long")
+    got = log.prefix_end(spark.createDataFrame([(1, i) for i in range(4, 30)], "s int, lsn long"), F.col("lsn") != 25, ["s"], start)
+    assert [(r.start, r.end) for r in got.collect()] == [(10, 25)]
+
+
+def test_values_at_ranks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "FEW", 10)
+    monkeypatch.setattr(metrics, "CELLS", 8)
+    x = sorted([1.0] * 400 + [float(i) ** 3 for i in range(300)] + [-1e9, 1e12])
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double")
+    ranks = [0, 1, 5, 200, 401, 500, 699, len(x) - 1]
+    assert metrics.values_at(df, "v", ranks) == [x[r] for r in ranks]
+
+
+def test_utc_and_sql_hash_and_wire_length(spark):
+    from nearfield.functions import decode_vector
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        at = spark.sql("SELECT timestamp'2024-01-31 09:00:00' AS t")
+        assert at.select(metrics.iso_utc(F.col("t"))).first()[0] == "2024-01-31T00:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    V.register(spark)
+    assert [r[0] for r in spark.sql("SELECT fnv1a64(x) FROM VALUES (0L), (42L) t(x)").collect()] == [str(0xA8C7F832281A39C5), str(0xFF3ADD6B3789DAEF)]
+    raw = spark.createDataFrame([(bytes(16),), (bytes(12),), (bytes(15),), (None,)], "raw binary")
+    assert [r[0] is None for r in raw.select(decode_vector(F.col("raw"), 4)).collect()] == [False, True, True, True]
+
+
+def test_polling(spark, tmp_path):
+    import time
+
+    from nearfield.streaming.ingest import poll, polled
+
+    q = poll(spark, lambda: spark.range(3).agg(F.count("*").alias("n")), f"{tmp_path}/ticks", f"{tmp_path}/cp")
+    for _ in range(60):
+        if len(list(tmp_path.glob("ticks/tick=*/_SUCCESS"))) >= 2:
+            break
+        time.sleep(0.5)
+    q.stop()
+    got = polled(spark, f"{tmp_path}/ticks", 2).collect()
+    assert len(got) == 2 and got[0].tick > got[1].tick and got[0].n == 3
+
+
+def test_token_set(spark):
+    t = lambda *x: spark.createDataFrame([(v,) for v in x], "token string")
+    now = admission.add_tokens(t("a", "b"), t("b", "c", None))
+    assert sorted(r[0] for r in now.collect()) == ["a", "b", "c"]
+    assert sorted(r[0] for r in admission.remove_tokens(now, t("a", "z")).collect()) == ["b", "c"]
+
+
 def test_streams(spark, tmp_path):
     from nearfield.streaming.ingest import bulk_insert
 
