@@ -18,8 +18,9 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are tried on each row; more are joined by host.
 FEW = 64
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: (tag, attribute that it must have, a word that must stand in the page)
+CANONICAL = ("link", r"(?i)\brel\s*=\s*[\"']?canonical\b", "canonical")
+REFRESH = ("meta", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b", "refresh")
 
 
 def host_of(url: Column) -> Column:
@@ -37,10 +38,22 @@ def key_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), rest))
 
 
+def first_tag(html: Column, tag: str, attribute: str, word: str) -> Column:
+    """The first tag of a kind with an attribute, from ``<`` up to ``>``; null if there is none.
+
+    The page is cut at each ``>`` first, so that the time is in proportion to its length, whatever is in it.
+    """
+    parts = F.split(html, ">")
+    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    begins = rf"(?i)<{tag}\b"
+    tags = F.transform(F.filter(closed, lambda x: x.rlike(begins)), lambda x: F.regexp_replace(x, rf"(?is)^.*?(?=<{tag}\b)", ""))
+    return F.when(html.rlike(f"(?i){word}"), F.get(F.filter(tags, lambda x: x.rlike(attribute)), F.lit(0)))
+
+
 def target_of(url: Column, html: Column) -> Column:
     """The URL a page names as canonical, or else sends its reader to; null if none. Relative ones are completed."""
-    link = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    sent = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
+    link = F.regexp_extract(first_tag(html, *CANONICAL), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    sent = F.regexp_extract(first_tag(html, *REFRESH), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
     to = F.coalesce(F.nullif(link, F.lit("")), F.nullif(sent, F.lit("")))
     scheme, root = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.concat(root, F.regexp_replace(path_of(url), r"[^/]*$", ""))
