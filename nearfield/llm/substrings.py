@@ -32,8 +32,8 @@ LENGTH = 200
 GRAM = 32
 #: Text of a shard, about: whole anchors are added up to this size.
 SHARD = 1 << 20
-#: Different contents of an anchor beyond which its windows are hashed instead; at 284 bytes each, they fill half a shard.
-MOST = 1 << 11
+#: Different contents of an anchor beyond which its windows are hashed instead; at 284 bytes each they make a few shards.
+MOST = 1 << 14
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
