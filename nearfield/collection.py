@@ -98,11 +98,14 @@ class Collection:
         if torn:
             self.spark.createDataFrame([(s, int(ends.get(s, 0)), top + 1) for s in torn], "shard_id int, lsn long, epoch long").coalesce(1).write.mode("append").parquet(f"{self.path}/cuts")
         total = sum(ends.values())
-        filled = log.fill_ids(good.withColumn("__o", F.monotonically_increasing_id()), "__o", total)
+        staged = f"{self.path}/requests/{uuid.uuid4().hex}"  # the order of arrival is settled before it is read more than once
+        good.withColumn("__o", F.monotonically_increasing_id()).write.parquet(staged)
+        good = self.spark.read.schema("vec_id long, embedding array<float>, metadata string, __o long").parquet(staged)
+        filled = log.fill_ids(good, "__o", total)
         routed = filled.withColumn("shard_id", ring.owner(F.col("vec_id"), self.cfg.shards, self.cfg.vnodes))
-        placed = log.numbered(routed, "__o", "__at", ["shard_id"]).join(F.broadcast(base), "shard_id", "left")  # a row a shard
+        placed = log.numbered(routed, "__o", "__pos", ["shard_id"]).join(F.broadcast(base), "shard_id", "left")  # a row a shard
         out = placed.select(
-            "shard_id", (F.col("__at") + F.coalesce("__base", F.lit(0))).alias("lsn"), "vec_id", F.size("embedding").alias("dim"), log.crc32_f32(F.col("embedding")).alias("crc"), "embedding", "metadata", F.lit(top + 1).alias("epoch")
+            "shard_id", (F.col("__pos") + F.coalesce("__base", F.lit(0))).alias("lsn"), "vec_id", F.size("embedding").alias("dim"), log.crc32_f32(F.col("embedding")).alias("crc"), "embedding", "metadata", F.lit(top + 1).alias("epoch")
         )
         out.write.mode("append").partitionBy("shard_id").parquet(f"{self.path}/{self._log_name()}")
         made = self._read(self._log_name(), LOG).where(F.col("epoch") == top + 1).count()

@@ -11,11 +11,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.config import IndexConfig
 from nearfield.functions.hashing import fnv_long_array
+from nearfield.operators.log import numbered
 
 
 def layer_of(ids: np.ndarray, m: int, max_layers: int, seed: int = 0) -> np.ndarray:
@@ -189,4 +190,4 @@ def inspect(vectors: DataFrame, edges: DataFrame, node_id: int, shard_id: int =
 
 def with_nodes(routed: DataFrame, order: str) -> DataFrame:
     """node_id: position of each vector on its shard."""
-    return routed.withColumn("node_id", (F.row_number().over(Window.partitionBy("shard_id").orderBy(order)) - 1).cast("int"))
+    return numbered(routed, order, "node_id", ["shard_id"]).withColumn("node_id", F.col("node_id").cast("int"))

@@ -7,6 +7,7 @@ task.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -30,26 +31,58 @@ def split_valid(rows: DataFrame, dim: int, vector: str = "embedding") -> tuple[D
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def numbered(rows: DataFrame, order: str, name: str, by: list[str] | None = None, base: int = 0, parts: int = 64) -> DataFrame:
-    """``name`` = position of each row in its log (``by``) in ascending order, from ``base``.
+#: Rows that one range of an order holds, about.
+ROWS = 1 << 18
 
-    Without ``by`` the order column, a unique bigint, is cut into ranges by its own bounds; positions are those within a
-    range plus the rows of ranges before it.
+
+def cuts(rows: DataFrame, order: str, least: int = 1) -> list:
+    """Values that cut the rows into ranges of about equal counts, of ``ROWS`` rows each and ``least`` of them at least."""
+    parts = max(least, -(-rows.count() // ROWS))
+    if parts == 1:
+        return []
+    return sorted(set(rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []))
+
+
+def range_of(value: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted ``bounds``, values of type ``kind``, are less than the value: first by every so many of them."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    every = F.lit(bounds).cast(f"array<{kind}>")
+    rough = F.size(F.filter(F.lit(bounds[step - 1 :: step]).cast(f"array<{kind}>"), lambda x: x < value)) if step <= len(bounds) else F.lit(0)
+    return rough * step + F.size(F.filter(F.slice(every, rough * step + 1, F.lit(step)), lambda x: x < value))
+
+
+def same(a: str, b: str, keys: list[str]) -> Column | list[Column]:
+    """That two aliased tables agree in keys, nulls included."""
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys] or F.lit(True)
+
+
+def running(rows: DataFrame, order: str, by: list[str], weight: Column, name: str, least: int = 1) -> DataFrame:
+    """``name`` = sum of ``weight`` over the rows of the same log (``by``, or all) up to and with this one, in ascending order.
+
+    The order column is cut into ranges of about equal counts; a sum is that within a range plus the totals of the log's
+    ranges before it, so no task sorts a whole log. ``rows`` are read more than once and must agree each time.
     """
-    if by:
-        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1 + base).cast("long"))
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    width = 1 if lo is None else max(1, -(-(hi - lo + 1) // parts))
-    cut = rows.withColumn("__part", F.floor((F.col(order) - (lo or 0)) / width).cast("int"))
-    before = cut.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = cut.join(F.broadcast(before.select("__part", "__before")), "__part")  # ``parts`` rows
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + F.col("__before") + base
-    return joined.withColumn(name, at.cast("long")).drop("__part", "__before")
+    bounds, rows = cuts(rows, order, least), rows.withColumn("__w", weight)
+    if not bounds:  # one range
+        return rows.withColumn(name, F.sum("__w").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).drop("__w")
+    cut = rows.withColumn("__part", range_of(F.col(order), bounds, rows.schema[order].dataType.simpleString()))
+    past = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = cut.groupBy(*by, "__part").agg(F.sum("__w").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(past), F.lit(0)))
+    here = cut.withColumn("__here", F.sum("__w").over(Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = here.alias("h").join(before.alias("b"), same("h", "b", [*by, "__part"])).select("h.*", "b.__before")
+    return joined.withColumn(name, F.col("__here") + F.col("__before")).drop("__w", "__part", "__here", "__before")
+
+
+def numbered(rows: DataFrame, order: str, name: str, by: list[str] | None = None, base: int = 0, parts: int = 1) -> DataFrame:
+    """``name`` = position of each row in its log (``by``, or all) by the order column, of numbers unique in a log, from ``base``."""
+    return running(rows, order, by or [], F.lit(1).cast("long"), "__end", parts).withColumn(name, (F.col("__end") - 1 + base).cast("long")).drop("__end")
 
 
 def fill_ids(inserts: DataFrame, order: str, total: int) -> DataFrame:
     """vec_id of rows without one, or with a negative one: the vectors before them, counting all inserts."""
-    return numbered(inserts, order, "__at", base=total).withColumn("vec_id", F.when(F.col("vec_id") >= 0, F.col("vec_id")).otherwise(F.col("__at"))).drop("__at")
+    return numbered(inserts, order, "__pos", base=total).withColumn("vec_id", F.when(F.col("vec_id") >= 0, F.col("vec_id")).otherwise(F.col("__pos"))).drop("__pos")
 
 
 def valid_prefix(log: DataFrame, good: Column, by: list[str] | None = None, lsn: str = "lsn") -> DataFrame:

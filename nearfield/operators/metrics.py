@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.log import running as running_by
+from nearfield.operators.log import same
+
 # Upper bounds of the latency buckets in microseconds, and what each bucket reports as its midpoint.
 BOUNDS = (100, 200, 300, 500, 750, 1000, 2000)
 MIDPOINTS = (50, 150, 250, 400, 625, 875, 1500, 3000)
@@ -35,9 +38,24 @@ def histogram_percentiles(hist: DataFrame, before: float = 0.0) -> DataFrame:
 
 
 def exact_percentiles(events: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """p50, p95, p99 by linear interpolation; 0 without data."""
-    cols = [F.coalesce(F.percentile(value, F.lit(p)), F.lit(0.0)).alias(f"p{round(100 * p)}") for p in LEVELS]
-    return events.groupBy(*by).agg(*cols) if by else events.agg(*cols)
+    """p50, p95, p99 of each group (or of all) by linear interpolation; 0 without data.
+
+    Equal values are counted first, then the counts are summed in ranges, so no task holds or sorts a whole group.
+    """
+    by = by or []
+    total = events.groupBy(*by).agg(F.count(value).alias("__total"))
+    each = events.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    summed = running_by(each, "__v", by, F.col("__n"), "__end")
+    placed = summed.alias("s").join(total.alias("t"), same("s", "t", by)).select("s.*", "t.__total")
+    at = {p: p * (F.col("__total") - 1) for p in LEVELS}
+    has = lambda i: (F.col("__end") > i) & (F.col("__end") - F.col("__n") <= i)
+    picks = [F.max(F.when(has(side(at[p])), F.col("__v"))).alias(f"__{name}{i}") for i, p in enumerate(LEVELS) for name, side in (("lo", F.floor), ("hi", F.ceil))]
+    got = total.alias("t").join(placed.groupBy(*by).agg(*picks).alias("g"), same("t", "g", by), "left").select("t.*", *[f"g.__{name}{i}" for i in range(len(LEVELS)) for name in ("lo", "hi")])
+    cols = []
+    for i, p in enumerate(LEVELS):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        cols.append(F.coalesce(lo + (hi - lo) * (at[p] - F.floor(at[p])), F.lit(0.0)).alias(f"p{round(100 * p)}"))
+    return got.select(*by, *cols)
 
 
 def latest(events: DataFrame, n: int, *order: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Exact search: one query, batches, shards and merge, thresholds, graphs and quality measures.
 
-One query is a projection and a top-k that never sorts the table. A batch goes to the vectors in blocks of bounded size:
-each task holds a block of queries and keeps the k nearest of what it reads for each, so what is shuffled is k rows a
-query and task, however many pairs there are. Ranking is on squared distances, ties by vec_id; roots are taken last.
+One query is a projection and a top-k that never sorts the table. A batch of few queries is broadcast, behind a check of
+their number; more of them meet the vectors in executors, block by block. Either way a task holds a block of queries and
+keeps the k nearest of what it reads for each, so k rows a query and task are shuffled, however many pairs there are.
+Ranking is on squared distances, ties by vec_id; roots are taken last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import TINY, cosine_distance, l2_sq
 
-#: Queries sent to the tasks at a time, and distances held at a time.
+#: Most queries that are broadcast, and distances held at a time.
 QUERY_BLOCK = 4096
 CELLS = 1 << 21
+#: Numbers in the block of queries that a task holds, and vectors that it reads for them, where both meet in executors.
+HELD, READ = 1 << 20, 1 << 18
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -68,44 +72,87 @@ def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "l2") ->
     return near.select(F.row_number().over(Window.orderBy("d", "vec_id")).alias("rank"), "vec_id", out.alias("distance"))
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of bounded size; only one is on the driver at a time."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    for i in range(parts):
-        part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
-        t = part.select("qid", "query").toArrow().combine_chunks()
-        if t.num_rows:
-            col = t.column("query")
-            yield t.column("qid").to_numpy(), matrix(pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col)
+Fold = Callable[[np.ndarray, np.ndarray, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _few(queries: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The queries (qid, query), if there are at most ``most``; no more than one beyond that comes to the driver."""
+    t = queries.select("qid", "query").limit(most + 1).toArrow().combine_chunks()
+    if t.num_rows > most:
+        return None
+    col = t.column("query")
+    return t.column("qid").to_numpy(), matrix(col.combine_chunks())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """Sorted batches of (unit, side, ...) cut where the unit or side changes, without those two columns."""
+    for b in batches:
+        unit, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+        edges = np.flatnonzero((np.diff(unit) != 0) | (np.diff(side) != 0)) + 1
+        rest = b.select(range(2, b.num_columns))
+        for lo, hi in pairwise([0, *edges.tolist(), b.num_rows]):
+            if hi > lo:
+                yield (int(unit[lo]), int(side[lo])), rest.slice(lo, hi - lo)
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, fold: Fold, schema: str, by: str | None = None) -> DataFrame:
+    """``fold`` of every query of (qid, query) with every vector, a block of queries and a run of vectors at a time.
+
+    The vectors are (vec_id, embedding[, ``by``]). Few queries are broadcast and the vectors stay where they are. Otherwise
+    both are dealt by hashes of their ids to units of a block of each; a task sorts its units, holds the queries of one and
+    reads its vectors past them. A vector is shuffled once for each block of queries, and no pair is.
+    """
+    spark = vectors.sparkSession
+    given = _few(queries, QUERY_BLOCK)
+    vectors = vectors.select("vec_id", "embedding", *([by] if by else []))
+    if given is not None:
+        if not len(given[0]):
+            return spark.createDataFrame([], schema)
+        sent = spark.sparkContext.broadcast(given)  # QUERY_BLOCK rows at most
+        return vectors.mapInArrow(lambda batches: fold(*sent.value, batches), schema)
+    n, dim = queries.agg(F.count("*"), F.max(F.size("query"))).first()
+    cores = spark.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-n * max(1, dim) // HELD))
+    v_blocks = max(1, -(-vectors.count() // READ), -(-2 * cores // q_blocks))
+    mine, theirs = F.pmod(F.xxhash64("qid"), F.lit(q_blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks))
+    grp = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    left = queries.select(
+        F.explode(F.sequence(mine * v_blocks, mine * v_blocks + v_blocks - 1)).alias("unit"), F.lit(0).alias("side"), F.col("qid").cast("long").alias("id"), F.col("query").alias("v"), F.lit(0).cast("long").alias("grp")
+    )
+    right = vectors.select(F.explode(F.sequence(theirs, theirs + (q_blocks - 1) * v_blocks, F.lit(v_blocks).cast("long"))).alias("unit"), F.lit(1).alias("side"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), grp.alias("grp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, ids, q = None, None, None
+        for (u, side), pieces in groupby(_pieces(batches), key=lambda p: p[0]):
+            if side == 0:
+                held = [b for _, b in pieces]
+                unit, ids, q = u, np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([matrix(b.column(1)) for b in held])
+            elif u == unit:
+                yield from fold(ids, q, (b for _, b in pieces))
+
+    tasks = max(cores, min(q_blocks * v_blocks, 1 << 15))  # a task takes its units one after the other
+    return left.unionByName(right).repartition(tasks, "unit").sortWithinPartitions("unit", "side").mapInArrow(run, schema)
 
 
 def batch_partials(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str | None = None) -> DataFrame:
     """qid, (by,) vec_id, d: for each query the k nearest of each task (and of each value of ``by``)."""
-    names = ["vec_id", "embedding"] + ([by] if by else [])
-    schema = f"qid long, vec_id long, {'grp long, ' if by else ''}d double"
-    spark, out = vectors.sparkSession, None
-    for ids, q in _blocks(queries, QUERY_BLOCK):
-        given = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            ids, q = given.value
-            best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                x, v = matrix(b.column(1)), b.column(0).to_numpy()
-                group = b.column(2).to_numpy() if by else np.zeros(len(v), np.int64)
-                for g in np.unique(group).tolist():
-                    at = np.flatnonzero(group == g)
-                    for lo in range(0, len(at), max(k, CELLS // len(ids))):
-                        rows = at[lo : lo + max(k, CELLS // len(ids))]
-                        best[g] = keep_nearest(best.get(g), nearest(x[rows], v[rows], q, k, metric), k)
-            for g, (i, d, w) in best.items():
-                cols = [ids[i], w] + ([np.full(len(i), g)] if by else []) + [d]
-                yield pa.record_batch([pa.array(c) for c in cols], ["qid", "vec_id"] + ["grp"] * bool(by) + ["d"])
-
-        part = vectors.select(*names).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+
+    def fold(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            x, v = matrix(b.column(1)), b.column(0).to_numpy()
+            group = b.column(2).to_numpy() if by else np.zeros(len(v), np.int64)
+            for g in np.unique(group).tolist():
+                at = np.flatnonzero(group == g)
+                step = max(k, CELLS // len(ids))
+                for lo in range(0, len(at), step):
+                    rows = at[lo : lo + step]
+                    best[g] = keep_nearest(best.get(g), nearest(x[rows], v[rows], q, k, metric), k)
+        for g, (i, d, w) in best.items():
+            cols = [ids[i], w] + ([np.full(len(i), g)] if by else []) + [d]
+            yield pa.record_batch([pa.array(c) for c in cols], ["qid", "vec_id"] + ["grp"] * bool(by) + ["d"])
+
+    return _meet(vectors, queries, fold, f"qid long, vec_id long, {'grp long, ' if by else ''}d double", by)
 
 
 def merge(partials: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -143,27 +190,22 @@ def healthy_only(vectors: DataFrame, health: DataFrame) -> DataFrame:
 
 
 def pairs_within(vectors: DataFrame, most_d2: float) -> DataFrame:
-    """a, b, d2 for a < b at a squared distance below ``most_d2``; blocks of vectors against the table."""
-    spark, out = vectors.sparkSession, None
-    for ids, q in _blocks(vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), QUERY_BLOCK):
-        given = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            ids, q = given.value
-            qq = (q * q).sum(axis=1)
-            for b in batches:
-                x, v = matrix(b.column(1)), b.column(0).to_numpy()
-                for lo in range(0, len(v), 1024):
-                    xs, vs = x[lo : lo + 1024], v[lo : lo + 1024]
-                    rough = (xs * xs).sum(axis=1)[:, None] + qq[None, :] - 2 * xs @ q.T
-                    i, j = np.nonzero((rough < most_d2 + 1e-6) & (vs[:, None] > ids[None, :]))
-                    d = ((xs[i] - q[j]) ** 2).sum(axis=1)
-                    ok = d < most_d2
-                    yield pa.record_batch([pa.array(ids[j[ok]]), pa.array(vs[i[ok]]), pa.array(d[ok])], ["a", "b", "d2"])
-
-        part = vectors.select("vec_id", "embedding").mapInArrow(run, "a long, b long, d2 double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "a long, b long, d2 double")
+    """a, b, d2 for a < b at a squared distance below ``most_d2``; the table meets itself in blocks."""
+
+    def fold(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qq = (q * q).sum(axis=1)
+        step = max(1, CELLS // len(ids))
+        for b in batches:
+            x, v = matrix(b.column(1)), b.column(0).to_numpy()
+            for lo in range(0, len(v), step):
+                xs, vs = x[lo : lo + step], v[lo : lo + step]
+                rough = (xs * xs).sum(axis=1)[:, None] + qq[None, :] - 2 * xs @ q.T
+                i, j = np.nonzero((rough < most_d2 + 1e-6) & (vs[:, None] > ids[None, :]))
+                d = ((xs[i] - q[j]) ** 2).sum(axis=1)
+                ok = d < most_d2
+                yield pa.record_batch([pa.array(ids[j[ok]]), pa.array(vs[i[ok]]), pa.array(d[ok])], ["a", "b", "d2"])
+
+    return _meet(vectors, vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), fold, "a long, b long, d2 double")
 
 
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:

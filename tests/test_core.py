@@ -451,3 +451,60 @@ def test_search_in_sql(spark):
     got = spark.sql(f"SELECT * FROM vector_search(TABLE(SELECT * FROM v_udtf) PARTITION BY (shard_id), array({q}), 3) ORDER BY distance, vec_id LIMIT 3").collect()
     want = search.top_k(vecs(spark, x), [float(np.float32(t)) for t in x[7]], 3).collect()
     assert [(r.vec_id, round(r.distance, 6)) for r in got] == [(r.vec_id, round(r.distance, 6)) for r in want]
+
+
+def test_many_queries_meet_in_executors(spark, monkeypatch):
+    x = unit(90, 8, 3)
+    v = vecs(spark, x).withColumn("g", (F.col("vec_id") % 3).cast("int"))
+    q = v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    wide = q.select("qid", F.col("query").cast("array<double>").alias("query"))
+
+    def all_of():
+        frames = (search.batch_top_k(v, q, 3), search.batch_top_k(v, wide, 4, "cosine"), search.shard_top_k(v.withColumnRenamed("g", "shard_id"), q, 2), search.pairs_within(v, 0.6), search.knn_graph(v, 4))
+        return [sorted(map(tuple, f.collect())) for f in frames]
+
+    few = all_of()
+    assert all(few)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    for held, read in ((1 << 20, 1 << 18), (8 * 13, 7), (8 * 400, 90)):
+        monkeypatch.setattr(search, "HELD", held)
+        monkeypatch.setattr(search, "READ", read)
+        assert all_of() == few
+    assert search.batch_top_k(v.limit(0), q, 3).count() == 0
+
+
+def test_ranges_of_an_order(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(o), None if g == 3 else int(g)) for o, g in zip(np.unique(rng.integers(0, 10**12, 300) ** 2 // 10**9), rng.choice(4, 300, p=[0.7, 0.1, 0.1, 0.1]), strict=False)]
+    df = spark.createDataFrame(rows, "o long, g int")
+    monkeypatch.setattr(log, "ROWS", 16)
+    assert len(log.cuts(df, "o")) > 10
+    assert [r.n for r in log.numbered(df, "o", "n", base=5).orderBy("o").collect()] == [i + 5 for i in range(len(rows))]
+    seen: dict = {}
+    for r in log.numbered(df, "o", "n", ["g"]).orderBy("o").collect():
+        assert r.n == seen.get(r.g, 0)
+        seen[r.g] = r.n + 1
+    assert sum(seen.values()) == len(rows)
+    bounds = list(range(0, 70, 7))
+    for n in (1, 2, 3, 5, 10):
+        got = spark.range(-3, 80).select("id", log.range_of(F.col("id"), bounds[:n], "bigint").alias("p")).collect()
+        assert all(r.p == sum(b < r.id for b in bounds[:n]) for r in got)
+
+
+def test_percentiles_in_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=300), np.full(200, 0.25), [1e12, -1e12]])
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(x)] + [("c", None), ("a", None), (None, 7.0), (None, 8.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = df.groupBy("g").agg(*[F.coalesce(F.percentile("v", F.lit(p)), F.lit(0.0)).alias(f"p{round(p * 100)}") for p in metrics.LEVELS]).collect()
+    for size in (1 << 18, 16):
+        monkeypatch.setattr(log, "ROWS", size)
+        got = {r.g: (r.p50, r.p95, r.p99) for r in metrics.exact_percentiles(df, "v", ["g"]).collect()}
+        assert got.keys() == {r.g for r in want} and all(got[r.g] == pytest.approx((r.p50, r.p95, r.p99)) for r in want)
+        assert tuple(metrics.exact_percentiles(df, "v").first()) == pytest.approx(tuple(df.agg(*[F.percentile("v", F.lit(p)) for p in metrics.LEVELS]).first()))
+
+
+def test_probes_of_near_buckets():
+    size = np.array([[[0.5, 0.1, 0.9, 0.2]]])
+    assert lsh.flips(size, 4)[0, 0].tolist() == [0, 2, 8, 10]  # none, the nearest plane, the next, both
+    assert len(set(lsh.flips(size, 16)[0, 0].tolist())) == 16
