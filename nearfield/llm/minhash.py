@@ -9,9 +9,11 @@ similarities well and tells at once which candidates of a bucket are worth a loo
 A bucket may hold very many classes, so its pairs are never listed. The members of all buckets that one class leads (by
 the least id) are a group; any two classes of a bucket meet in its leader's group, once for all bands. Pairs are compared
 first by sketches, which leaves those with a partner near enough, and then by full sets, on which every link is
-confirmed. A small group is compared whole. In a large one each member is first compared with the leader only; those that
-link with it are connected, and need not be compared with each other. What is left is compared with all of the group, in
-pairs of blocks. A unit of work tells of its links only what connects: each member's least reachable one.
+confirmed. A small group is compared whole. A large one is compared within blocks, twice, dealt differently: what links
+connect gets one label, and pairs within a label need no look. Between the two, members go that have too few hashes in
+sets of other labels to link with one. What has not the most frequent label of its group then is compared with all that
+is left of the group, in pairs of blocks. A unit of work tells of its links only what connects: each member's least
+reachable one.
 """
 
 from __future__ import annotations
@@ -267,6 +269,53 @@ def _compared(dealt: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return C.settle(C.map_arrow(confirm, link, "gid long, a long, b long")), sets
 
 
+def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """``reps`` and a column label: the component of each rep by (node, component), itself if it has none."""
+    return reps.join(links, F.col("rep") == F.col("node"), "left").select(*reps.columns, F.coalesce("component", "rep").alias("label"))
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(gid, rep, t) of the groups of (gid, rep) that hold more than one label, and how many blocks each makes."""
+    several = _labelled(members, links).groupBy("gid").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    return members.join(several.select(F.col("gid").alias("g"), F.ceil(F.col("m") / BLOCK).cast("long").alias("t")), F.col("gid") == F.col("g")).select("gid", "rep", "t")
+
+
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """(able): those of (rep, label, set) that may link with one of another label.
+
+    Such a link needs ``percent`` of a set's hashes in a set of another label. Hashes meet by their ranges; each batch
+    gives one row a range.
+    """
+    parts = max(2 * sets.sparkSession.sparkContext.defaultParallelism, (sets.agg(F.sum(F.size("set"))).first()[0] or 0) >> 19)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).value_lengths().to_numpy()
+            h = b.column(2).flatten().to_numpy()
+            part = (C.mix(h.view(np.uint64)) % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            used, start = np.unique(part[order], return_index=True)
+            off = pa.array(np.append(start, len(h)), pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(x[order])) for x in (np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), h)]
+            yield pa.record_batch([pa.array(used), *lists], ["part", "rep", "label", "h"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.grouped(batches, 1):
+            bounds = C.group_bounds(t, 1)
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                rep, label, h = (np.concatenate([x.flatten().to_numpy() for x in t.column(c).slice(lo, hi - lo).chunks]) for c in ("rep", "label", "h"))
+                order = np.argsort(h, kind="stable")
+                rep, label, h = rep[order], label[order], h[order]
+                start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                shared = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+                who, n = np.unique(rep[np.repeat(shared, np.diff(np.append(start, len(h))))], return_counts=True)
+                yield pa.record_batch([pa.array(who), pa.array(n.astype(np.int64))], ["w", "k"])
+
+    dealt = C.map_arrow(sets, deal, "part long, rep array<long>, label array<long>, h array<long>").repartition("part").sortWithinPartitions("part")
+    shared = C.map_arrow(dealt, count, "w long, k long").groupBy("w").agg(F.sum("k").alias("k"))
+    return shared.join(sets.select("rep", F.size("set").alias("n")), F.col("w") == F.col("rep")).where(F.col("k") * 100 >= F.col("n") * percent).select(F.col("w").alias("able"))
+
+
 def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) links between representatives that connect all that links connect.
 
@@ -281,20 +330,26 @@ def _edges(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     small = members.join(large, F.col("gid") == F.col("large"), "left_anti").select("gid", none.alias("u"), zero.alias("side"), "rep")
     if large.isEmpty():
         return _compared(small, docs, classes, size, percent)[0].select("a", "b")
-    others = C.settle(members.where("rep != gid").join(large, F.col("gid") == F.col("large")).select("gid", "rep", "t"))
+    many = C.settle(members.join(large, F.col("gid") == F.col("large")).select("gid", "rep", "t"))
     block = C.block_of(["gid", "rep"], F.col("t"))
-    leaders = large.select(F.col("large").alias("gid"), F.explode(F.sequence(none, F.col("t") - 1)).alias("u"), one.alias("side"), F.col("large").alias("rep"))
-    first, sets = _compared(small.union(others.select("gid", block.alias("u"), zero.alias("side"), "rep")).union(leaders), docs, classes, size, percent, others.select("rep"))
-    joined = first.where("b = gid").select(F.col("gid").alias("g"), F.col("a").alias("j")).distinct()
-    rest = C.settle(others.join(joined, (F.col("gid") == F.col("g")) & (F.col("rep") == F.col("j")), "left_anti"))
+    first, sets = _compared(small.union(many.select("gid", block.alias("u"), zero.alias("side"), "rep")), docs, classes, size, percent, many.select("rep"))
+    links = components(first.select("a", "b"))  # connects as all links so far do
+    able = _able(_labelled(many.select("rep").distinct(), links).join(sets, F.col("rep") == F.col("r")).select("rep", "label", "set"), percent)
+    many = C.settle(_labelled(_mixed(many.select("gid", "rep").join(able, F.col("rep") == F.col("able")).select("gid", "rep"), links), links))
+    again = C.block_of(["gid", "rep", one], F.col("t"))  # dealt anew, so that what is connected in each block meets
+    second, _ = _compared(many.select("gid", again.alias("u"), zero.alias("side"), "rep"), docs, classes, size, percent, sets=sets)
+    links = components(links.union(second.select("a", "b")))
+    many = C.settle(_labelled(many.where("t > 1").select("gid", "rep", "t"), links))
+    main = many.groupBy("gid", "label").agg(F.count("*").alias("m")).groupBy("gid").agg(F.max_by("label", F.struct("m", "label")).alias("main")).select(F.col("gid").alias("g"), "main")
+    rest = C.settle(many.join(main, F.col("gid") == F.col("g")).where("label != main").select("gid", "rep", "t"))
     if rest.isEmpty():
-        return first.select("a", "b")
+        return links
     rows = rest.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("s")).select(F.col("gid").alias("g"), "s")
     every = lambda last: F.sequence(none, last - 1)
     asks = rest.join(rows, F.col("gid") == F.col("g")).select("gid", F.explode(F.transform(every(F.col("t")), lambda j: C.block_of(["gid", "rep"], F.col("s")) * F.col("t") + j)).alias("u"), one.alias("side"), "rep")
-    told = others.join(rows, F.col("gid") == F.col("g")).select("gid", F.explode(F.transform(every(F.col("s")), lambda i: i * F.col("t") + block)).alias("u"), zero.alias("side"), "rep")
-    second, _ = _compared(asks.union(told), docs, classes, size, percent, sets=sets)
-    return first.select("a", "b").union(second.select("a", "b"))
+    told = many.join(rows, F.col("gid") == F.col("g")).select("gid", F.explode(F.transform(every(F.col("s")), lambda i: i * F.col("t") + block)).alias("u"), zero.alias("side"), "rep")
+    third, _ = _compared(asks.union(told), docs, classes, size, percent, sets=sets)
+    return links.union(third.select("a", "b"))
 
 
 def judge(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

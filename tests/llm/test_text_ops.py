@@ -238,6 +238,41 @@ def test_blocks_lose_no_pair(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(brute.near_dedup(rows, 4, 80))
 
 
+def test_rows_of_a_large_group(spark, monkeypatch):
+    """Near copies whose leader links with none of them: rows compared grow with the group, not with its square."""
+
+    def made(n):
+        base = [f"w{j}" for j in range(100)]
+        texts = [[f"x{j}" if j % 16 == 8 else w for j, w in enumerate(base)]]
+        for i in range(1, n):
+            texts.append([f"y{i}" if j == (7 * i) % 100 else w for j, w in enumerate(base)])
+        return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    seen, compared = [], minhash._compared
+
+    def counted(dealt, *args, **kwargs):
+        seen.append(dealt.count())
+        return compared(dealt, *args, **kwargs)
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "_compared", counted)
+    total = {}
+    for n in (60, 120):
+        seen.clear()
+        got = minhash.judge(frame(spark, made(n)), size=4).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(brute.near_dedup(made(n), 4, 80))
+        total[n] = sum(seen)
+    assert total[120] < 2.7 * total[60] and total[120] < 10 * 120, total
+
+
+def test_sets_able_to_link(spark):
+    rows = [(1, 1, [1, 2, 3, 4, 5]), (2, 2, [1, 2, 3, 4, 9]), (3, 3, [1, 2, 3, 7, 8]), (4, 4, [10, 11]), (5, 5, [20, 21]), (6, 5, [20, 21])]
+    sets = spark.createDataFrame([(r, c, [x - (1 << 63) + 3 if x % 2 else x for x in s]) for r, c, s in rows], "rep long, label long, set array<long>")
+    assert sorted(r.able for r in minhash._able(sets, 80).collect()) == [1, 2]  # 3 shares three of five; 5 and 6 have one label
+    assert sorted(r.able for r in minhash._able(sets, 60).collect()) == [1, 2, 3]
+    assert minhash._able(sets.limit(0), 80).count() == 0
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
