@@ -21,6 +21,8 @@ from nearfield.functions.vectors import TINY, cosine_distance, l2_sq
 #: Most queries that are broadcast, and distances held at a time.
 QUERY_BLOCK = 4096
 CELLS = 1 << 21
+#: Queries that are compared at a time: the fewer, the more vectors at a time, each list's bound being known before.
+TILE = 512
 #: Numbers in the block of queries that a task holds, and vectors that it reads for them, where both meet in executors.
 HELD, READ = 1 << 20, 1 << 18
 
@@ -31,22 +33,32 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, distance, id) of at least the k nearest rows to each query.
+def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, distance, id) of at least the k nearest rows to each query, or of those not beyond its ``bound``.
 
     One matrix product tells which rows can be among them; their distances are then summed directly, so that equal
     vectors have equal distances wherever they stand.
     """
+    qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
     if metric == "l2":
-        rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+        rough = q @ x.T
+        rough *= -2
+        rough += qq[:, None]
+        rough += xx[None, :]
+        most = 2 * (qq + xx[np.isfinite(xx)].max(initial=0))  # no finite distance is beyond it
     else:
-        size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        size = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
         rough = np.where(size < TINY, 1.0, 1.0 - (q @ x.T) / np.where(size < TINY, 1.0, size))
-    if rough.shape[1] > k:
-        worst = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        i, j = np.nonzero(rough <= (worst + 1e-9 * (1 + np.abs(rough).max(axis=1)))[:, None])
-    else:
-        i, j = (a.ravel() for a in np.indices(rough.shape))
+        most = 2.0
+    worst = np.full(len(q), np.inf) if bound is None else bound.copy()
+    free = np.flatnonzero(~(worst < np.inf))
+    if rough.shape[1] > k and len(free):
+        kth = np.partition(rough[free], k - 1, axis=1)[:, k - 1]
+        worst[free] = np.where(np.isnan(kth), np.inf, kth)
+    near = rough <= (worst + 1e-9 * (1 + most))[:, None]
+    if rough.shape[1] <= k:
+        near[free] = True
+    i, j = np.nonzero(near)
     a, b = q[i], x[j]
     if metric == "l2":
         return i, ((b - a) ** 2).sum(axis=1), ids[j]
@@ -54,6 +66,17 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str)
     return i, np.where(size < TINY, 1.0, 1.0 - (a * b).sum(axis=1) / np.where(size < TINY, 1.0, size)), ids[j]
 
 
+def bounds(have: tuple[np.ndarray, np.ndarray, np.ndarray] | None, n: int, k: int) -> np.ndarray:
+    """The k-th distance of each of ``n`` queries in a list of (query, distance, id) as ``keep_nearest`` gives; inf if fewer."""
+    out = np.full(n, np.inf)
+    if have is not None:
+        i, d, _ = have
+        last = np.searchsorted(i, np.arange(n), "right") - 1
+        full = np.bincount(i, minlength=n) >= k
+        out[full] = d[last[full]]
+    return out
+
+
 def keep_nearest(have: tuple | None, new: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k least of each query by (distance, id), of two lists of (query, distance, id)."""
     i, d, v = new if have is None else (np.concatenate(x) for x in zip(have, new, strict=True))
@@ -138,18 +161,21 @@ def batch_partials(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     """qid, (by,) vec_id, d: for each query the k nearest of each task (and of each value of ``by``)."""
 
     def fold(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for b in batches:
             x, v = matrix(b.column(1)), b.column(0).to_numpy()
             group = b.column(2).to_numpy() if by else np.zeros(len(v), np.int64)
             for g in np.unique(group).tolist():
                 at = np.flatnonzero(group == g)
-                step = max(k, CELLS // len(ids))
+                step = max(k, CELLS // min(len(ids), TILE))
                 for lo in range(0, len(at), step):
                     rows = at[lo : lo + step]
-                    best[g] = keep_nearest(best.get(g), nearest(x[rows], v[rows], q, k, metric), k)
-        for g, (i, d, w) in best.items():
-            cols = [ids[i], w] + ([np.full(len(i), g)] if by else []) + [d]
+                    xs, vs = x[rows], v[rows]
+                    for t in range(0, len(ids), TILE):
+                        qs, have = q[t : t + TILE], best.get((g, t))
+                        best[g, t] = keep_nearest(have, nearest(xs, vs, qs, k, metric, bounds(have, len(qs), k)), k)
+        for (g, t), (i, d, w) in best.items():
+            cols = [ids[t + i], w] + ([np.full(len(i), g)] if by else []) + [d]
             yield pa.record_batch([pa.array(c) for c in cols], ["qid", "vec_id"] + ["grp"] * bool(by) + ["d"])
 
     return _meet(vectors, queries, fold, f"qid long, vec_id long, {'grp long, ' if by else ''}d double", by)

@@ -3,6 +3,7 @@ import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,6 +474,36 @@ def test_many_queries_meet_in_executors(spark, monkeypatch):
     assert search.batch_top_k(v.limit(0), q, 3).count() == 0
 
 
+def test_known_bounds_spare_distances(monkeypatch):
+    """A graph of vectors read in many runs: most pairs are dropped by the product alone, and no neighbour is lost."""
+    rng = np.random.default_rng(6)
+    x = unit(1500, 8, 5).astype(np.float32).astype(np.float64)
+    x[40:60] = x[3]  # ties go by id
+    ids = rng.permutation(1500)
+    summed = 0
+    plain = search.nearest
+
+    def counted(*args):
+        nonlocal summed
+        found = plain(*args)
+        summed += len(found[0])
+        return found
+
+    monkeypatch.setattr(search, "nearest", counted)
+    monkeypatch.setattr(search, "_meet", lambda v, q, fold, schema, by: list(fold(ids, x, iter([pa.record_batch([pa.array(ids), pa.array(list(x))], ["vec_id", "embedding"])]))))
+    monkeypatch.setattr(search, "CELLS", 1 << 16)
+    parts = search.batch_partials(None, None, 9)
+    got = sorted(r for b in parts for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    want = sorted((int(ids[i]), int(ids[j]), d[i, j]) for i in range(1500) for j in np.lexsort((ids, d[i]))[:9])
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    assert summed < 1500 * 9 * 6  # of 2,250,000 pairs
+    odd = x.copy()
+    odd[7] = np.nan
+    i, dist, _ = plain(odd, ids, x[:5], 3, "l2")
+    assert set(i.tolist()) == set(range(5)) and np.isfinite(dist).all()  # one odd vector hides no other
+
+
 def test_ranges_of_an_order(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(int(o), None if g == 3 else int(g)) for o, g in zip(np.unique(rng.integers(0, 10**12, 300) ** 2 // 10**9), rng.choice(4, 300, p=[0.7, 0.1, 0.1, 0.1]), strict=False)]
